@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clonoforge.llm.canonical import UNMATCHED, GeneMatcher, bounded, canonical_values
 from clonoforge.llm.groups import consolidate, pairs_as_lists
+from clonoforge.llm.leaks import find_leaks
+from clonoforge.llm.packing import fill, pack, token_counts
 from clonoforge.session import table
 
 #: More genes than any species has; a reference beyond it is no gene list (see canonical_by_join).
@@ -61,5 +63,50 @@ def p3_misses(spark: SparkSession, d: str) -> DataFrame:
     return _genes(spark, d).filter(F.col("name") == UNMATCHED).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses}
-SQL = {"p2_found": P2_FOUND_SQL}
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in a container of each capacity, measured in tokens."""
+    sizes = token_counts(table(spark, d, "documents"), "text", ["doc_id"])
+    return pack(sizes, table(spark, d, "pack_targets"), "doc_id", "n_tokens", "target_id", "capacity_tokens")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return fill(p6_pack(spark, d), table(spark, d, "pack_targets"), "target_id", "capacity_tokens")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and the test items that stand in it."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "passage")
+
+
+P7_FOUND_SQL = """
+WITH runs AS (
+  SELECT item_id, regexp_extract_all(lower(regexp_replace(passage, '[^A-Za-z0-9]', ' ', 'g')), '[a-z0-9]+') AS w FROM eval_items
+), grams AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM runs) t
+), texts AS (
+  SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL
+), places AS (
+  SELECT doc_id, array_to_string(w[i:i+11], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM texts) t
+)
+SELECT DISTINCT doc_id, item_id FROM places JOIN grams USING (gram)
+"""
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+P7_ITEMS_SQL = f"SELECT item_id, count(DISTINCT doc_id)::BIGINT AS n_docs FROM ({P7_FOUND_SQL}) found GROUP BY item_id"
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_misses": p3_misses,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
+}
+SQL = {"p2_found": P2_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_items": P7_ITEMS_SQL}
