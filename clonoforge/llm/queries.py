@@ -9,6 +9,7 @@ from clonoforge.llm.canonical import UNMATCHED, GeneMatcher, bounded, canonical_
 from clonoforge.llm.groups import consolidate, pairs_as_lists
 from clonoforge.llm.leaks import find_leaks
 from clonoforge.llm.packing import fill, pack, token_counts
+from clonoforge.llm.truncation import judge, rates
 from clonoforge.session import table
 
 #: More genes than any species has; a reference beyond it is no gene list (see canonical_by_join).
@@ -100,6 +101,16 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 P7_ITEMS_SQL = f"SELECT item_id, count(DISTINCT doc_id)::BIGINT AS n_docs FROM ({P7_FOUND_SQL}) found GROUP BY item_id"
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document whose text was cut."""
+    return judge(table(spark, d, "documents"), "doc_id", "text", "source").filter("is_cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of its texts that each source cuts."""
+    return rates(judge(table(spark, d, "documents"), "doc_id", "text", "source"), "source")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -108,5 +119,7 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 SQL = {"p2_found": P2_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_items": P7_ITEMS_SQL}
