@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from clonoforge.plans import problems
+from clonoforge.plans import problems, relational
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
-FLAGSHIP = problems.p4_totals
+_PARTS = (problems, relational)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
+FLAGSHIP = relational.agg_cellranger
