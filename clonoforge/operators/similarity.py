@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clonoforge.functions.columns import is_residues, trim_flanks
-from clonoforge.functions.kernels import encode, k3_matrix
+from clonoforge.functions.kernels import k3_cross, k3_selves
+from clonoforge.functions.matrices import encode
 
 THRESHOLD = 0.97
 #: Database sequences of one block; a task compares a batch of inputs with one block.
-BLOCK = 4096
+BLOCK, BATCH = 4096, 1024
 
 
 def usable(df: DataFrame, column: str, trimmed: bool = True, strict: bool = False) -> DataFrame:
@@ -31,6 +32,13 @@ def usable(df: DataFrame, column: str, trimmed: bool = True, strict: bool = Fals
 
 
 
+def _by_length(sequences: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    groups = defaultdict(list)
+    for s in sequences:
+        groups[len(s)].append(s)
+    return [(np.array(own, object), encode(own, n)) for n, own in groups.items()]
+
+
 def similar_pairs(inputs: DataFrame, database: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(sequence, match, score): distinct input and database sequences scoring above the threshold.
 
@@ -47,8 +55,8 @@ def similar_pairs(inputs: DataFrame, database: DataFrame, threshold: float = THR
     n = right.count()
     blocks = max(1, -(-n // block))
     dealt = right.groupBy(F.pmod(F.xxhash64("sequence"), F.lit(blocks)).alias("block")).agg(F.collect_list("sequence").alias("members"))
-    spread = max(1, spark.sparkContext.defaultParallelism * 2)
-    batches = left.groupBy(F.pmod(F.xxhash64("sequence"), F.lit(spread)).alias("batch"), F.floor(F.pmod(F.xxhash64("sequence", F.lit(1)), F.lit(1 << 20)) / F.lit(1 << 12)).alias("part")).agg(F.collect_list("sequence").alias("ours"))
+    parts = max(spark.sparkContext.defaultParallelism, -(-left.count() // BATCH))
+    batches = left.groupBy(F.pmod(F.xxhash64("sequence"), F.lit(parts)).alias("batch")).agg(F.collect_list("sequence").alias("ours"))
     work = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").select("ours", "members").repartition(F.xxhash64("ours", "members"))
     schema = T.StructType([T.StructField("sequence", T.StringType()), T.StructField("match", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -56,23 +64,15 @@ def similar_pairs(inputs: DataFrame, database: DataFrame, threshold: float = THR
         for batch in frames:
             out: tuple[list, list, list] = ([], [], [])
             for ours, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                groups = defaultdict(list)
-                for m in members:
-                    groups[len(m)].append(m)
-                coded = []
-                for length, own in groups.items():
-                    codes = encode(own, length)
-                    selves = np.array([k3_matrix(c, c[None, :])[0] for c in codes])
-                    coded.append((np.array(own, object), codes, selves))
-                for sequence in ours:
-                    a = encode([sequence], len(sequence))[0]
-                    own_self = k3_matrix(a, a[None, :])[0]
-                    for names, codes, selves in coded:
-                        score = k3_matrix(a, codes) / np.sqrt(own_self * selves)
-                        for k in np.flatnonzero(score > threshold):
-                            out[0].append(sequence)
-                            out[1].append(names[k])
-                            out[2].append(float(score[k]))
+                coded = [(names, codes, k3_selves(codes)) for names, codes in _by_length(members)]
+                for mine, rows in _by_length(ours):
+                    selves = k3_selves(rows)
+                    for names, codes, others in coded:
+                        score = k3_cross(rows, codes) / np.sqrt(selves[:, None] * others[None, :])
+                        x, y = np.nonzero(score > threshold)
+                        out[0].extend(mine[x])
+                        out[1].extend(names[y])
+                        out[2].extend(score[x, y])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=schema.names)
 
     return work.mapInArrow(run, schema)

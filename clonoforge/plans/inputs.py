@@ -57,7 +57,7 @@ SELECT rid, {_given('subject')} AS subject, {_given('condition')} AS condition,
 FROM chain_records
 WHERE {_given('subject')} IS NOT NULL AND {_given('condition')} IS NOT NULL
   AND regexp_full_match(upper({_given('beta')}), '[{RESIDUES}]+')
-  AND (counts IS NULL OR (counts >= 0 AND NOT isnan(counts) AND counts < 'infinity'::DOUBLE))
+  AND (counts IS NULL OR (counts >= 0 AND counts <> 'nan'::DOUBLE AND counts < 'infinity'::DOUBLE))
 """
 
 _CDR3 = f"'C[{RESIDUES}]{{6,}}F'"
