@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +42,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared checkpoint folder, its lineage cut.
+    """df computed once and written to a table in the shared folder, its lineage cut.
 
-    The files are replicated by the folder's own file system, so a lost executor costs
-    nothing but the task it ran.
+    The files are kept by the folder's own file system, so a lost executor costs nothing
+    but the task it ran; unlike a checkpointed plan a table tells its true size, which the
+    planner needs in loops of joins. The table is deleted when the application ends.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """This package's source to the workers, once per application: they need not find it on their own path."""
+    if getattr(spark.sparkContext, "_clonoforge_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="clonoforge-source-"), "clonoforge_source.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("clonoforge", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(target)
+    spark.sparkContext._clonoforge_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
