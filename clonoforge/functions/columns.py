@@ -194,7 +194,19 @@ def fisher(a: Column, n_query: Column, c: Column, n_reference: Column, two_sided
         seen = chance(a) * (1.0 + 1e-12)
         out = F.aggregate(F.sequence(least, most), F.lit(0.0), lambda s, k: s + F.when(chance(k) <= seen, chance(k)).otherwise(0.0))
     else:
-        out = F.aggregate(F.sequence(F.least(a, most), most), F.lit(0.0), lambda s, k: s + chance(k))
+        # From one k to the next by the ratio of their chances: the logarithms are taken once.
+        first = chance(a)
+        spare = (total - good - n_query).cast("double")
+
+        def add(held: Column, k: Column) -> Column:
+            p = held["p"] * ((good - k + 1) * (n_query - k + 1)).cast("double") / (k.cast("double") * (spare + k))
+            return F.struct((held["s"] + p).alias("s"), p.alias("p"))
+
+        rest = F.when(a < most, F.sequence(a + 1, most)).otherwise(F.array().cast("array<bigint>"))
+        tail = F.aggregate(rest, F.struct(first.alias("s"), first.alias("p")), add, lambda held: held["s"])
+        # Far below the mode the first chance vanishes, and the tail is all there is.
+        below = a.cast("double") < (n_query + 1).cast("double") * (good + 1) / (total + 2) - 1
+        out = F.when((first < 1e-290) & below, 1.0).otherwise(tail)
     return F.when((a <= n_query) & (c <= n_reference), F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))
 
 
