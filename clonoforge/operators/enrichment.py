@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoforge.functions.columns import RESIDUES, fisher, fold_change, is_cdr3, kmers, matches_pattern, motif_region, wildcard_tags
-from clonoforge.functions.kernels import bounded, seed_of, states
+from clonoforge.functions.kernels import seed_of
 from clonoforge.operators.distances import hamming_pairs
 from clonoforge.operators.graph import components
 from clonoforge.session import cut
@@ -213,13 +213,20 @@ def network_edges(sample: DataFrame, local: DataFrame, cutoff: int) -> DataFrame
     return by_motif.unionByName(by_region)
 
 
-def network_clusters(sample: DataFrame, reference: DataFrame, n_records: int, most_p: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def simulated_motifs(sample: DataFrame, reference: DataFrame, simulations: int = 1000, least_members: int = 2) -> DataFrame:
+    """(motif, p, ratio): the simulated test of every motif of `least_members` sequences or more."""
+    counts = motif_statistics(sample, reference).select("motif", "n_sample", "n_reference").filter(F.col("n_sample") >= least_members)
+    return simulated_motif_test(counts, sample.count(), reference.count(), simulations)
+
+
+def network_clusters(sample: DataFrame, reference: DataFrame, n_records: int, most_p: float = 0.05, simulations: int = 1000) -> tuple[DataFrame, DataFrame]:
     """The older network method: (cid, pattern, kind, p) and (cid, s).
 
-    Hamming distance up to 2 below 125 records, else 1; a component of both kinds of edges
-    counts as local; its pattern is the literal not_implemented.
+    Motifs tie their members by the simulated test, so those absent from the reference drop
+    out. Hamming distance up to 2 below 125 records, else 1; a component of both kinds of
+    edges counts as local; its pattern is the literal not_implemented.
     """
-    local = motif_statistics(sample, reference).filter((F.col("n_sample") >= 2) & (F.col("p") < most_p) & (F.col("fold") >= least_fold()))
+    local = cut(simulated_motifs(sample, reference, simulations).filter((F.col("p") < most_p) & (F.col("ratio") >= least_fold())))
     edges = cut(network_edges(sample, local, 2 if n_records < 125 else 1))
     labels = components(edges, "a", "b")
     kinds = edges.join(labels.withColumnRenamed("v", "a"), "a").groupBy("component").agg(F.min("p").alias("p"), F.countDistinct("kind").alias("k"), F.min("kind").alias("kind"))
@@ -230,22 +237,16 @@ def network_clusters(sample: DataFrame, reference: DataFrame, n_records: int, mo
 def simulated_motif_test(statistics: DataFrame, n_sample: int, n_reference: int, simulations: int) -> DataFrame:
     """(motif, p, ratio) by drawing samples from the reference, seeded by the motif.
 
-    Only how many reference sequences hold the motif matters to a draw, so they stand as
-    the first ones.
+    Only how many of a draw's sequences hold the motif matters. As they are picked evenly
+    and with replacement, that number is binomial and drawn at once, one per simulation.
     """
 
     @F.pandas_udf("struct<p:double,ratio:double>")
     def test(motif: pd.Series, seen: pd.Series, held: pd.Series) -> pd.DataFrame:
         rows = []
         for m, observed, h in zip(motif, seen, held, strict=True):
-            state, counted = seed_of(m), []
-            block = max(1, 2_000_000 // max(n_sample, 1))
-            for first in range(0, simulations, block):
-                size = min(block, simulations - first)
-                stream = states(state, size * n_sample)
-                state = int(stream[-1]) if len(stream) else state
-                counted.append((bounded(stream, max(n_reference, 1)).reshape(size, n_sample) < h).sum(axis=1))
-            hits = np.concatenate(counted)
+            seed = seed_of(m)
+            hits = np.random.RandomState([seed & 0xFFFFFFFF, seed >> 32]).binomial(n_sample, h / max(n_reference, 1), simulations) if h else np.zeros(simulations)
             mean = hits.sum() / simulations
             rows.append((max((hits >= observed).sum() / simulations, 1 / simulations), observed / mean if mean > 0 else 1 / (simulations * max(n_sample, 1))))
         return pd.DataFrame(rows, columns=["p", "ratio"])

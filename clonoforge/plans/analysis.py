@@ -356,9 +356,7 @@ def expansion_mc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gliph1_mc(spark: SparkSession, d: str) -> DataFrame:
-    sample, reference = I.sample(spark, d), I.reference(spark, d)
-    statistics = E.motif_statistics(sample, reference).filter("n_sample >= 2 AND p < 0.05")
-    return E.simulated_motif_test(statistics, sample.count(), reference.count(), 20)
+    return E.simulated_motifs(I.sample(spark, d), I.reference(spark, d))
 
 
 # --- motifs, search, alignment ----------------------------------------------------------------------

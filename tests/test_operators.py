@@ -212,3 +212,15 @@ def test_pipelines(spark):
         assert max(r.number_unique_cdr3 for r in got) == 6 and all(0 < r.final_score <= 1 for r in got)
     with pytest.raises(ValueError):
         pipeline.run_motif_clustering(records, pipeline.Repertoire(reference.limit(3), genes), hla)
+
+
+def test_older_method_takes_motifs_by_simulation(spark):
+    own = [f"CAS{a}WWWW{b}TQYF" for a, b in ("GA", "GD", "GE", "DH", "DK")] + [f"CASQ{a}HMHM{b}QYF" for a, b in ("RG", "SD")]
+    sample = spark.createDataFrame([(s,) for s in own], "s string")
+    filler = [f"CASS{a}{b}{c}{e}TEAFF" for a in "ADEGHILN" for b in "PQRSTVAY" for c in "ADEGHILN" for e in "PQRSTV"]
+    reference = spark.createDataFrame([(s,) for s in [*filler, "CASVWWWWNTQYF"]], "s string")
+    tests = {r.motif: (r.p, r.ratio) for r in enrichment.simulated_motifs(sample, reference).collect()}
+    assert tests["HMHM"] == (0.001, 1 / (1000 * 7)) and tests["WWWW"][0] == 0.001 and tests["WWWW"][1] > 100
+    # WWWW stands once in the reference and ties its five sequences; HMHM is absent and ties none.
+    _, members = enrichment.network_clusters(sample, reference, 200)
+    assert sorted(r.s for r in members.collect()) == sorted(own[:5])
