@@ -260,6 +260,6 @@ def pattern_counts(unique: DataFrame, pattern: str) -> DataFrame:
 
 
 def number_clusters(clusters: DataFrame) -> DataFrame:
-    """clusters with index 1, 2, ... by p, pattern and kind: one global window, over clusters only."""
+    """clusters with index 1, 2, ... by p, pattern, kind and id: one global window, over clusters only."""
     rank = F.when(F.col("kind") == "local", 0).when(F.col("kind") == "global", 1).otherwise(2)
-    return clusters.withColumn("index", F.row_number().over(Window.orderBy("p", "pattern", rank)))
+    return clusters.withColumn("index", F.row_number().over(Window.orderBy("p", "pattern", rank, "cid")))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clonoforge.functions.matrices import blosum62
-from clonoforge.operators import alignment, cells, enrichment, graph, motifs, pipeline, scoring, similarity
+from clonoforge.operators import alignment, cells, distances, enrichment, graph, motifs, pipeline, scoring, similarity
 from clonoforge.operators.distances import distance_pairs, edit_cutoff, hamming_pairs
 from clonoforge.sources import chains, files, plates
 from tests.test_functions import plain_distance
@@ -224,3 +224,41 @@ def test_older_method_takes_motifs_by_simulation(spark):
     # WWWW stands once in the reference and ties its five sequences; HMHM is absent and ties none.
     _, members = enrichment.network_clusters(sample, reference, 200)
     assert sorted(r.s for r in members.collect()) == sorted(own[:5])
+
+
+def test_joint_distance_modes(spark):
+    betas, alphas, genes = ["CASSLGTDTQYF", "CASSLATDTQYF", "CASSLGGTDTQYF"], ["CAVRDSNYQLIF", "CAVKDSNYQLIF", "CAVRDSNNYQLIF"], ["V1*01", "V2*01"]
+    rows = [(f"{b}|{a}|{v}|{w}", b, a, v, w) for b in betas for a in alphas for v in genes for w in genes]
+    vertices = spark.createDataFrame(rows, "v string, beta string, alpha string, vb string, va string")
+    table = spark.createDataFrame([("V1*01", "AAAAA.A", "AAA..AA", "AAAAAA"), ("V2*01", "AAAAA.W", "AAA..AA", "AAAAAA")], "gene string, cdr1 string, cdr2 string, pmhc string")
+    step = {(x, y): 0 if x == y else 4 for x in genes for y in genes}
+    want = {}
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0]:
+                total = 3 * (plain_distance(x[1], y[1]) + plain_distance(x[2], y[2])) + step[x[3], y[3]] + step[x[4], y[4]]
+                if total <= 24:
+                    want[x[0], y[0]] = total
+    got = distances.joint_pairs(vertices, 24, True, table, cdr3_weight=3, tile=5).collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.d for r in got} == want
+    plain = distances.joint_pairs(vertices.select("beta", "alpha").distinct().withColumn("v", F.concat_ws("|", "beta", "alpha")), 4, True).collect()
+    pairs = [f"{b}|{a}" for b in betas for a in alphas]
+    near = {(x, y) for x in pairs for y in pairs if x < y and sum(plain_distance(p, q) for p, q in zip(x.split("|"), y.split("|"), strict=True)) <= 4}
+    assert {(r.i, r.j) for r in plain} == near
+
+
+def test_distance_clusters_part_unlike_alphas(spark):
+    rows = [(0, "CASSLGTDTQYF", "CAVRDSNYQLIF"), (1, "CASSLATDTQYF", "CAVRDSNYQLIF"), (2, "CASSLVTDTQYF", "CWWWWHHHHMMMMKKKLIF"), (3, "CASSLITDTQYF", None)]
+    records = spark.createDataFrame([(r, f"p{r}", "x", b, a, "TRBV1" if r else "TRBV9", "TRBJ1", "TRAV1", "TRAJ1", 1.0) for r, b, a in rows], "rid long, subject string, condition string, beta string, alpha string, v_gene string, j_gene string, va_gene string, ja_gene string, counts double")
+    one = records.filter("alpha IS NULL")
+    assert pipeline.infer_mode(records) == "alpha-beta" and pipeline.infer_mode(one) == "beta"
+    germline = spark.createDataFrame([("TRBV1*01",), ("TRAV1*01",)], "gene string")
+    kept = lambda m: sorted(r.rid for r in pipeline.usable_records(records, pipeline.MODES[m], germline).collect())
+    assert [kept(m) for m in pipeline.MODES] == [[0, 1, 2, 3], [1, 2, 3], [0, 1, 2], [1, 2]]
+    rep = pipeline.Repertoire(spark.createDataFrame([(f"CASS{a}{b}TEAFF",) for a in "ADEGH" for b in "PQRST"], "s string"), spark.createDataFrame([("TRBV1", 0.5), ("TRBV9", 0.5)], "gene string, freq double"))
+    hla = spark.createDataFrame([("p0", *[""] * 8)], "subject string, " + ", ".join(f"{x} string" for x in chains.LOCI))
+    got = pipeline.run_distance_clustering(records, rep, hla, edits=2, simulations=20, mode=None).collect()
+    together = {}
+    for r in got:
+        together.setdefault(r["index"], set()).add(r.tcrb)
+    assert sorted(map(sorted, together.values())) == [["CASSLATDTQYF", "CASSLGTDTQYF"], ["CASSLVTDTQYF"]]
