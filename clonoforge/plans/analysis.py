@@ -327,13 +327,13 @@ def length_score_mc(spark: SparkSession, d: str) -> DataFrame:
     n = reference.count()
     frequencies = reference.groupBy(F.length("s").alias("value")).agg((F.count(F.lit(1)) / F.lit(n)).alias("freq"))
     members = _clusters(spark, d).select("cluster", "pattern", "beta", F.length("beta").alias("n")).distinct()
-    return S.composition_scores(members.withColumn("pattern", F.col("cluster").cast("string")), "cluster", "n", frequencies, "pattern", "length", 200)
+    return S.composition_scores(members.withColumn("pattern", F.col("cluster").cast("string")), "cluster", "n", frequencies, "pattern", "length")
 
 
 def v_score_mc(spark: SparkSession, d: str) -> DataFrame:
     frequencies = table(spark, d, "gene_reference").filter("chain = 'TRB'").select("gene", "freq")
     members = _clusters(spark, d).withColumn("pattern", F.col("cluster").cast("string"))
-    return S.composition_scores(members, "cluster", "v_gene", frequencies, "pattern", "v", 200)
+    return S.composition_scores(members, "cluster", "v_gene", frequencies, "pattern", "v")
 
 
 def expansion_mc(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +350,7 @@ def expansion_mc(spark: SparkSession, d: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(cluster: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([S.expansion_score(list(x), shared.value, 100, f"expansion:{c}") for c, x in zip(cluster, ns, strict=True)])
+        return pd.Series([S.expansion_score(list(x), shared.value, 1000, f"expansion:{c}") for c, x in zip(cluster, ns, strict=True)])
 
     return own.select("cluster", score("cluster", "ns").alias("score"))
 

@@ -262,3 +262,38 @@ def test_distance_clusters_part_unlike_alphas(spark):
     for r in got:
         together.setdefault(r["index"], set()).add(r.tcrb)
     assert sorted(map(sorted, together.values())) == [["CASSLATDTQYF", "CASSLGTDTQYF"], ["CASSLVTDTQYF"]]
+
+
+def test_queries_simulate_as_in_production(spark, monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from clonoforge.plans import analysis, pipelines
+
+    asked = []
+    for name in ("run_motif_clustering", "run_distance_clustering"):
+        real = inspect.signature(getattr(pipelines, name))
+
+        def record(*args, real=real, **named):
+            bound = real.bind(*args, **named)
+            bound.apply_defaults()
+            asked.append(bound.arguments["simulations"])
+
+        monkeypatch.setattr(pipelines, name, record)
+    score = inspect.signature(scoring.composition_scores)
+
+    def composition(*args):
+        bound = score.bind(*args)
+        bound.apply_defaults()
+        asked.append(bound.arguments["simulations"])
+
+    monkeypatch.setattr(analysis.S, "composition_scores", composition)
+    for module in (pipelines, analysis):
+        monkeypatch.setattr(module, "I", MagicMock())
+        monkeypatch.setattr(module, "table", MagicMock())
+    monkeypatch.setattr(pipelines, "cut", MagicMock())
+    monkeypatch.setattr(analysis, "_clusters", MagicMock())
+    analysis.I.reference.return_value.count.return_value = 2
+    for query in (pipelines.QUERIES["gliph2_full"], pipelines.QUERIES["gliph1_full"], pipelines.QUERIES["tcrdist_full"], pipelines.QUERIES["tcrdist_full_single"], analysis.length_score_mc, analysis.v_score_mc):
+        query(spark, "")
+    assert asked == [1000] * 6
