@@ -166,6 +166,29 @@ def global_scores(one: np.ndarray, many: np.ndarray, opening: int = 7, extending
     return h[:, m]
 
 
+def paired_scores(one: np.ndarray, two: np.ndarray, opening: int = 7, extending: int = 1) -> np.ndarray:
+    """`global_scores` of the k-th row of `one` against the k-th of `two`, each set of one length."""
+    scores = np.zeros((_N + 1, _N + 1))
+    scores[:_N, :_N] = blosum62()
+    one, two = np.minimum(one, _N).T, np.minimum(two, _N).T
+    n, m, held = len(one), len(two), one.shape[1]
+    low = -1e9
+    h = np.concatenate([[0.0], -opening - extending * np.arange(m)])[:, None].repeat(held, 1)
+    e = np.full((m + 1, held), low)
+    for i in range(1, n + 1):
+        e = np.maximum(h - opening, e - extending)
+        e[0] = low
+        new = np.empty_like(h)
+        new[0] = -opening - extending * (i - 1)
+        best = np.maximum(h[:-1] + scores[one[i - 1][None, :], two], e[1:])
+        f = np.full(held, low)
+        for j in range(1, m + 1):
+            f = np.maximum(new[j - 1] - opening, f - extending)
+            np.maximum(best[j - 1], f, out=new[j])
+        h = new
+    return h[m]
+
+
 # --- deterministic random numbers ------------------------------------------------
 
 _MULTIPLIER = 6364136223846793005

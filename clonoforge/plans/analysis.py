@@ -402,7 +402,7 @@ def tcrmatch_trust4(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(pairs, "sequence").select("line", "match", M.written_score().alias("score"))
 
 
-def group_alignment(spark: SparkSession, d: str, replicates: int = 0) -> DataFrame:
+def group_alignment(spark: SparkSession, d: str, replicates: int = 1000) -> DataFrame:
     """Mean alignment scores of clusters by pattern and index; groups of at most 1000 sequences by definition."""
     rows = table(spark, d, "cluster_output").filter("cluster_index IS NOT NULL").select(F.coalesce("pattern", F.lit("")).alias("pattern"), "cluster_index", "tcra", "tcrb").distinct()
     keys = ["pattern", "cluster_index"]
@@ -411,10 +411,15 @@ def group_alignment(spark: SparkSession, d: str, replicates: int = 0) -> DataFra
     groups = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("c") == "a", F.col("s")))).alias("alphas"), F.array_sort(F.collect_list(F.when(F.col("c") == "b", F.col("s")))).alias("betas"))
     pool: list[str] = []
     if replicates:
-        pool = [r.s for r in A.picked(A.unique_alphas(rows).filter(C.is_residues("s")).withColumn("_all", F.lit(1)), ["_all"], "s", 5000).orderBy("s").collect()]
+        pool = [r.s for r in A.unique_alphas(rows.withColumn("tcra", F.upper("tcra"))).filter(C.is_residues("s")).orderBy("s").collect()]
     return A.score_groups(groups, pool, replicates, keys)
 
 
+def group_background(spark: SparkSession, d: str) -> DataFrame:
+    """Share of background samples whose alphas align better than the group's own."""
+    return group_alignment(spark, d).select("pattern", "cluster_index", "tcra_v_background")
+
+
 def nw_score(spark: SparkSession, d: str) -> DataFrame:
     """Alignment score of every pair of sequences that differ in one place."""
     @F.pandas_udf("double")
@@ -464,6 +469,7 @@ QUERIES = {
     "tcrmatch_trust4": tcrmatch_trust4,
     "nw_score": nw_score,
     "group_alignment": group_alignment,
+    "group_background": group_background,
 }
 SQL = {
     "kmers": f"SELECT s, string_agg(motif, ' ' ORDER BY motif) AS motifs FROM ({_motifs_sql(I.SAMPLE_SQL)}) m GROUP BY s",

@@ -297,3 +297,18 @@ def test_queries_simulate_as_in_production(spark, monkeypatch):
     for query in (pipelines.QUERIES["gliph2_full"], pipelines.QUERIES["gliph1_full"], pipelines.QUERIES["tcrdist_full"], pipelines.QUERIES["tcrdist_full_single"], analysis.length_score_mc, analysis.v_score_mc):
         query(spark, "")
     assert asked == [1000] * 6
+
+
+def test_group_background_uses_the_whole_pool(spark, monkeypatch):
+    from clonoforge.plans import analysis
+
+    pool = [f"CA{a}{b}DSNYQLIF"[: 10 + n % 3] for n, (a, b) in enumerate((x, y) for x in "ADEGH" for y in "KLMN")]
+    monkeypatch.setattr(alignment.PoolScores, "KEPT", 5)
+    drawn = np.array([[0, 3, 7, 11], [19, 2, 4, 5]])
+    assert alignment.PoolScores(pool).means(drawn).tolist() == [alignment.mean_score([pool[i] for i in row]) for row in drawn]
+    rows = spark.createDataFrame([("p", k // 4, pool[k], "CASSF") for k in range(20)], "pattern string, cluster_index long, tcra string, tcrb string")
+    monkeypatch.setattr(analysis, "table", lambda *_: rows)
+    asked = {}
+    monkeypatch.setattr(analysis.A, "score_groups", lambda groups, pool, replicates, keys: asked.update(pool=pool, replicates=replicates))
+    analysis.QUERIES["group_alignment"](spark, "")
+    assert asked == {"pool": sorted(set(pool)), "replicates": 1000} and "group_background" in analysis.QUERIES
