@@ -344,13 +344,12 @@ def expansion_mc(spark: SparkSession, d: str) -> DataFrame:
     if len(sizes) > 100_000:
         raise ValueError("more than 100,000 different clone sizes")
     values, times = np.log1p([r.n for r in sizes]), np.array([r.k for r in sizes])
-    background = np.repeat(values, times) if times.sum() <= 20_000_000 else values
-    shared = spark.sparkContext.broadcast(background)
+    shared = spark.sparkContext.broadcast((values, times))
     own = _clusters(spark, d).select("cluster", "beta").distinct().join(counts, "beta").groupBy("cluster").agg(F.sort_array(F.collect_list("n")).alias("ns"))
 
     @F.pandas_udf("double")
     def score(cluster: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([S.expansion_score(list(x), shared.value, 1000, f"expansion:{c}") for c, x in zip(cluster, ns, strict=True)])
+        return pd.Series([S.expansion_score(list(x), shared.value[0], 1000, f"expansion:{c}", shared.value[1]) for c, x in zip(cluster, ns, strict=True)])
 
     return own.select("cluster", score("cluster", "ns").alias("score"))
 

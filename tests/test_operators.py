@@ -312,3 +312,11 @@ def test_group_background_uses_the_whole_pool(spark, monkeypatch):
     monkeypatch.setattr(analysis.A, "score_groups", lambda groups, pool, replicates, keys: asked.update(pool=pool, replicates=replicates))
     analysis.QUERIES["group_alignment"](spark, "")
     assert asked == {"pool": sorted(set(pool)), "replicates": 1000} and "group_background" in analysis.QUERIES
+
+
+def test_expansion_background_as_histogram():
+    values, times = np.log1p([1, 2, 50, 4000]), np.array([300, 40, 5, 1])
+    for k, own in enumerate(([1, 1, 2], [50, 1], [2] * 20)):
+        assert scoring.expansion_score(own, values, 300, f"h{k}", times) == scoring.expansion_score(own, np.repeat(values, times), 300, f"h{k}")
+    # Nearly all of a large repertoire's clones have count 1; a list of its different sizes would give about 1.
+    assert scoring.expansion_score([5, 5], values, 1000, "large", np.array([40_000_000, 10, 5, 1])) == 0.001
