@@ -19,6 +19,8 @@ from clonoforge.session import cut
 #: unfinished is no case by definition, whatever the length says; dots and unpunctuated last
 #: lines end whole texts as well and decide only together with a limit.
 WEIGHTS = {"mark": 9.0, "string": 9.0, "comment": 9.0, "bracket": 9.0, "block": 9.0, "word": 9.0, "sentence": 9.0, "statement": 9.0, "dots": 1.5, "line": 0.5, "none": -20.0}
+#: Least prior log-odds, however seldom a source cuts: strong evidence decides alone, weak never.
+LEAST_BASE = -8.0
 #: A limit holds at least so many different texts, and so many times what lies around it.
 LEAST_AT_LIMIT, TIMES_AROUND = 5, 10.0
 #: Most of the values at or above a limit that may lie above it.
@@ -132,7 +134,7 @@ def judge(df: DataFrame, doc: str, text: str, source: str) -> DataFrame:
     model = length_model(found).withColumnRenamed("source", "_source")
     joined = found.join(model, F.col("source").eqNullSafe(F.col("_source")))
     here = F.filter("limits", lambda x: F.when(x["measure"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes")) == x["limit"])
-    prior = F.greatest(F.col("base"), F.coalesce(F.array_max(F.transform(here, lambda x: x["log_odds"])), F.lit(-1e9)))
+    prior = F.greatest(F.col("base"), F.lit(LEAST_BASE), F.coalesce(F.array_max(F.transform(here, lambda x: x["log_odds"])), F.lit(-1e9)))
     weight = F.element_at(F.create_map(*[F.lit(v) for kv in WEIGHTS.items() for v in kv]), F.col("evidence"))
     return joined.select(F.col("doc").alias(doc), F.col("source").alias(source), "n_chars", "evidence", (prior + weight).alias("log_odds"), (prior + weight > 0).alias("is_cut"))
 

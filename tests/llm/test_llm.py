@@ -224,3 +224,10 @@ def test_judge(spark):
     rate = {r.source: r.cut_share for r in truncation.rates(judged, "source").collect()}
     assert rate[None] == 0.0 and rate["limited"] > 0.5
     assert truncation.judge(df.limit(0), "doc", "text", "source").count() == 0
+
+
+def test_a_seldom_cut_is_still_a_cut(spark):
+    whole = spark.range(20_000).selectExpr("id AS doc", "concat('This text ends well, number ', id, repeat(' and so on', cast(id % 37 as int)), '.') AS text", "'seldom' AS source")
+    cut_ = spark.createDataFrame([(20_000, "def f(x):\n    y = 'an open strin", "seldom")], "doc long, text string, source string")
+    judged = truncation.judge(whole.unionByName(cut_), "doc", "text", "source")
+    assert [r.doc for r in judged.filter("is_cut").collect()] == [20_000]
