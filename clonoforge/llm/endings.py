@@ -148,6 +148,13 @@ def _comment_line(body: str, line: str, sign: str) -> str | None:
     return _sentence(text)
 
 
+def _trailing_comment(last: str, sign: str) -> str | None:
+    """For a comment behind code: a note without a stop is common, so only a function word at its end is strong."""
+    text = last.lstrip(f"{sign} \t")
+    found = _sentence(text)
+    return found if found is None or _FUNCTION_WORD.search(text) else "line"
+
+
 def _python(text: str) -> str | None:
     body = text.rstrip()
     stack, open_, last, at = _scan(body, "python")
@@ -160,7 +167,7 @@ def _python(text: str) -> str | None:
     if bare.startswith("#"):
         return _comment_line(body, line, "#")
     if last.startswith("#") and at == len(body):
-        return None
+        return _trailing_comment(last, "#")
     if bare.endswith(":"):
         return "block"
     if _DANGLING.search(bare):
@@ -188,7 +195,7 @@ def _brace(text: str, kind: str) -> str | None:
     if bare.startswith("//"):
         return _comment_line(body, line, "//")
     if last.startswith("//") and at == len(body):
-        return None
+        return _trailing_comment(last, "//")
     if kind == "json":
         return None if body[-1:] in "}]\"" or re.search(r"(?:\d|true|false|null)$", body) else "statement"
     if body.endswith(("}", ";", "*/", ")", "]")) or bare.startswith("#"):

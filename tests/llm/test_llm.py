@@ -231,3 +231,9 @@ def test_a_seldom_cut_is_still_a_cut(spark):
     cut_ = spark.createDataFrame([(20_000, "def f(x):\n    y = 'an open strin", "seldom")], "doc long, text string, source string")
     judged = truncation.judge(whole.unionByName(cut_), "doc", "text", "source")
     assert [r.doc for r in judged.filter("is_cut").collect()] == [20_000]
+
+
+def test_comment_behind_code():
+    code = "import os\n\ndef f(y):\n    return y\n\nx = f(y)  # "
+    assert endings.ending(code + "taken from the") == "sentence" and endings.ending("int x = 1; // because of the") == "sentence"
+    assert endings.ending(code + "the reason is that we") == "line" and endings.ending(code + "It is done.") is None
