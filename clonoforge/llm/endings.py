@@ -1,8 +1,9 @@
 """What the end of a text says about whether it was cut: ending evidence by light scanning.
 
 `ending(text)` reads the whole text once with a scanner for its kind (Python, brace
-languages, JSON, style sheets, prose) and names what is left unfinished at the end:
-`mark`, `string`, `comment`, `bracket`, `block`, `word`, `sentence`, `statement`, or None.
+languages, JSON, style sheets, prose) and names what stands at its end. It judges nothing:
+how likely each kind of end is in cut and in whole texts is estimated from the data (see
+`truncation`).
 """
 
 from __future__ import annotations
@@ -10,8 +11,12 @@ from __future__ import annotations
 import re
 
 #: Marks that sources put where they cut; three dots alone may also end a whole text.
-MARK = re.compile(r"\s*[\[(<{]+\s*(?:!--)?\s*(?:\.\.\.|…|cut|snip|truncated?|output truncated|content truncated|text truncated|trimmed|clipped|more|continued|(?:\+?\d+ (?:more )?(?:chars?|characters|bytes|lines)[^\])>}]*))\s*(?:--)?\s*[\])>}]+\s*$|\s*(?:-{2,}|={2,}|\*{2,})\s*(?:cut|snip|truncated?|more)\s*(?:-{2,}|={2,}|\*{2,})\s*$", re.I)
-DOTS = re.compile(r"\s*(?:\.{3,}|…)\s*$")
+MARK = re.compile(r"[\[(<{]+\s*(?:!--)?\s*(?:\.\.\.|…|cut|snip|truncated?|output truncated|content truncated|text truncated|trimmed|clipped|more|continued|(?:\+?\d+ (?:more )?(?:chars?|characters|bytes|lines)[^\])>}]*))\s*(?:--)?\s*[\])>}]+|(?:-{2,}|={2,}|\*{2,})\s*(?:cut|snip|truncated?|more)\s*(?:-{2,}|={2,}|\*{2,})", re.I)
+_MARK_LINE = re.compile(r"[-=*]{2,}[^-=*\n]*[-=*]{2,}$")
+#: Kinds of end. The unfinished ones leave a construct open; the doubtful ones may end whole texts too.
+UNFINISHED = ("mark", "string", "comment", "bracket", "block", "word", "sentence", "statement")
+DOUBTFUL = ("dots", "heading", "item", "short", "odd", "newline", "note", "plain", "import")
+FINISHED = "none"
 
 #: Strings and comments of each kind; each is closed, or runs to the end of its line or of the text.
 _LINE_STRINGS = r'"(?:[^"\\\n]|\\.)*(?:"|\\?\Z|(?=\n))'
@@ -37,13 +42,13 @@ _SIGNS = {
     "script": ("function", "const ", "let ", "var ", "=> ", "export ", "module.exports", "return{"),
     "style": ("px;", ": #", "{\n  ", "}\n\n.", "}.", "margin", "padding"),
 }
+_JSON_HEAD = re.compile(r'\s*[\[{]\s*(?:["\[{\]}]|-?\d|\Z|true|false|null)')
 _WORD_END = re.compile(r"[A-Za-z0-9_]+$")
 
 
 def kind_of(text: str) -> str:
     """The kind of content, by what stands in it; the file's name may be wrong."""
-    head = text[:400].lstrip()
-    if head[:1] in "{[" and re.match(r'[\[{]\s*(?:["\[{\]}]|-?\d|$|true|false|null)', head):
+    if _JSON_HEAD.match(text):
         return "json"
     counts = {k: sum(map(text.count, signs)) for k, signs in _SIGNS.items()}
     ended, opened = text.count(";\n") + text.count(";}") + text.endswith(";"), text.count(":\n")
@@ -105,7 +110,7 @@ _FUNCTION_WORD = re.compile(r"(?:^|\s)(?:a|an|the|of|in|on|at|to|by|for|from|wit
 
 
 def _sentence(line: str) -> str | None:
-    """For the text of a comment or paragraph; `line` is weak evidence, `sentence` strong."""
+    """`sentence` for the text of a comment or paragraph without an end, else None."""
     line = line.rstrip()
     if not line or line.endswith("*/") or _COMPLETE_TAIL.search(line) or _CODE_LINE.search(line):
         return None
@@ -121,7 +126,7 @@ def _prose(text: str) -> str | None:
     if line.startswith("|") and not line.endswith("|"):
         return "block"
     if re.match(r"#{1,6}\s|\||```|={3,}|-{3,}|\[[^\]]*\]\([^)]*\)$", line):
-        return "line" if line.startswith("#") else None
+        return "heading" if line.startswith("#") else None
     start = len(lines) - 1
     while start > 0 and lines[start - 1].strip() and not re.match(r"\s*(?:#{1,6}\s|\||```)", lines[start - 1]) and not _LISTED.match(lines[start]):
         start -= 1
@@ -129,13 +134,15 @@ def _prose(text: str) -> str | None:
     if _sentence(paragraph) is None:
         return None
     if _LISTED.match(lines[start]):
-        return "line"
+        return "item"
     if _FUNCTION_WORD.search(paragraph):
         return "sentence"
-    if not re.fullmatch(r"[\w ,;:'’()%/.!?*&\[\]\"-]+", line) or re.search(r"[=(){}\[\]]", line) or text.endswith("\n"):
-        return "line"
+    if not re.fullmatch(r"[\w ,;:'’()%/.!?*&\[\]\"-]+", line) or re.search(r"[=(){}\[\]]", line):
+        return "odd"
+    if text.endswith("\n"):
+        return "newline"
     if len(paragraph.split()) <= 6 and len(lines) - start == 1 and (start == 0 or not lines[start - 1].strip()):
-        return "line"  # as a heading or signature of its own would be
+        return "short"  # as a heading or signature of its own would be
     return "sentence"
 
 
@@ -152,7 +159,7 @@ def _trailing_comment(last: str, sign: str) -> str | None:
     """For a comment behind code: a note without a stop is common, so only a function word at its end is strong."""
     text = last.lstrip(f"{sign} \t")
     found = _sentence(text)
-    return found if found is None or _FUNCTION_WORD.search(text) else "line"
+    return found if found is None or _FUNCTION_WORD.search(text) else "note"
 
 
 def _python(text: str) -> str | None:
@@ -179,7 +186,7 @@ def _python(text: str) -> str | None:
             return None if word in _KEYWORDS else "word"
         if word not in _KEYWORDS and not word.isdigit() and not bare.startswith(("import", "from")):
             if not re.search(rf"\b{re.escape(word)}\b", body[: len(body) - len(word)]):
-                return "word" if not text.endswith("\n") else "line"
+                return "word" if not text.endswith("\n") else "newline"
     return None
 
 
@@ -200,37 +207,48 @@ def _brace(text: str, kind: str) -> str | None:
         return None if body[-1:] in "}]\"" or re.search(r"(?:\d|true|false|null)$", body) else "statement"
     if body.endswith(("}", ";", "*/", ")", "]")) or bare.startswith("#"):
         return None
-    if _CODE_LINE.search(bare) or text.endswith("\n"):
-        return "line"
+    if _CODE_LINE.search(bare):
+        return "plain"
+    if text.endswith("\n"):
+        return "newline"
     if kind == "go" and re.match(r"(?:package|import|var|const|type)\b.*[\w\"`]$", bare):
-        return "line"
+        return "import"
     if kind == "script" and re.match(r"(?:export default|module\.exports|import .* from|const|let|var)\b.*[\w'\"`]$", bare):
-        return "line"
+        return "import"
     return "statement"
 
 
-def ending(text: str | None) -> str | None:
-    """What is left unfinished at the end of text; None for a whole, blank or null one.
+def _marked(body: str) -> bool:
+    """Whether the text ends in a mark put there by a source, however long that is."""
+    if body[-1] in "])>}":
+        begin = max(body.rfind(c) for c in "[(<{")
+        while begin > 0 and body[begin - 1] in "[(<{":
+            begin -= 1
+        return begin >= 0 and MARK.fullmatch(body, begin) is not None
+    if body[-1] in "-=*":
+        found = _MARK_LINE.search(body, body.rfind("\n") + 1)
+        return found is not None and MARK.fullmatch(body, found.start()) is not None
+    return False
 
-    `line` (an unpunctuated line that may be a heading, item or signature) and `dots` are
-    weak evidence, all others are strong.
-    """
+
+def ending(text: str | None) -> str:
+    """How text ends: one of UNFINISHED or DOUBTFUL, or FINISHED; a blank or null one is finished."""
     if text is None or not text.strip():
-        return None
-    if MARK.search(text[-80:]):
-        return "mark"
+        return FINISHED
     body = text.rstrip()
+    if _marked(body):
+        return "mark"
     if body[-1] == "\ufffd":
         return "word"
-    dots = DOTS.search(body[-20:])
-    if dots:
-        body = body[: len(body) - len(dots.group().strip())]
-        if not body.strip():
-            return None
-    kind = kind_of(body)
-    found = _prose(body if dots else text) if kind == "prose" else _python(body if dots else text) if kind == "python" else _brace(body if dots else text, kind)
-    if not dots and found in ("sentence", "word", "statement") and text.endswith(("\n", "\r")):
-        return "line"  # a cut seldom falls just behind a line end
+    bare = body.rstrip(".…")
+    dots = len(body) - len(bare) >= 3 or "…" in body[len(bare) :]
+    if dots and not bare.strip():
+        return FINISHED
+    seen = bare if dots else text
+    kind = kind_of(bare if dots else body)
+    found = _prose(seen) if kind == "prose" else _python(seen) if kind == "python" else _brace(seen, kind)
     if dots:
-        return "dots" if found in (None, "line", "sentence", "word") else found
-    return found
+        return found if found in UNFINISHED and found not in ("sentence", "word") else "dots"
+    if found in ("sentence", "word", "statement") and text.endswith(("\n", "\r")):
+        return "newline"  # a cut seldom falls just behind a line end
+    return found or FINISHED

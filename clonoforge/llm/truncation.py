@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,15 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonoforge.llm.endings import ending
+from clonoforge.llm.endings import DOUBTFUL, FINISHED, UNFINISHED, ending
 from clonoforge.session import cut
 
-#: Natural logarithm of P(evidence | cut) / P(evidence | whole). An end that leaves nothing
-#: unfinished is no case by definition, whatever the length says; dots and unpunctuated last
-#: lines end whole texts as well and decide only together with a limit.
-WEIGHTS = {"mark": 9.0, "string": 9.0, "comment": 9.0, "bracket": 9.0, "block": 9.0, "word": 9.0, "sentence": 9.0, "statement": 9.0, "dots": 1.5, "line": 0.5, "none": -20.0}
-#: Least prior log-odds, however seldom a source cuts: strong evidence decides alone, weak never.
-LEAST_BASE = -8.0
+KINDS = (*UNFINISHED, *DOUBTFUL, FINISHED)
+_OPEN = len(UNFINISHED)
+#: Counts that the distributions of ends start from: cut texts end in something unfinished,
+#: whole ones in nothing open. One text's worth of unfinished ends in whole texts is not believed.
+CUT_PRIOR = np.array([1.0] * _OPEN + [0.25] * len(DOUBTFUL) + [0.25])
+WHOLE_PRIOR = np.array([-1.0] * _OPEN + [0.5] * len(DOUBTFUL) + [5.0])
+LEAST_COUNT = 0.01
+#: The share of each kind of unfinished ends that the fit first gives to whole texts; it falls to
+#: nothing where the kind keeps in step with the sources' rates of cuts, and grows where it does not.
+FIRST_SHARE = 0.02
+#: Steps in which log-odds of limits are counted, and the greatest that matter: at most 121 different ones.
+STEP, MOST_ODDS = 0.5, 30.0
+#: Sources are pooled by powers of two of their share of unfinished ends, down to 2 ** -LEAST_POWER.
+LEAST_POWER = 40
 #: A limit holds at least so many different texts, and so many times what lies around it.
 LEAST_AT_LIMIT, TIMES_AROUND = 5, 10.0
 #: Most of the values at or above a limit that may lie above it.
@@ -34,7 +43,7 @@ def evidence(df: DataFrame, keep: str, text: str, source: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [ending(x.as_py()) or "none" for x in batch.column(5)]
+            found = [ending(x.as_py()) for x in batch.column(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.string())], names=schema.names)
 
     return read.mapInArrow(run, schema)
@@ -89,20 +98,23 @@ def candidate_limits(lengths: np.ndarray, counts: np.ndarray) -> list[int]:
     return out
 
 
-def length_model(found: DataFrame) -> DataFrame:
-    """(source, base, limits): per source the log-odds of a cut elsewhere, and at each candidate limit.
+def different_texts(found: DataFrame) -> DataFrame:
+    """(source, n_chars, n_bytes, evidence): one row per source and different text, so that copies make no limit."""
+    return found.groupBy("source", "content", "n_chars", "n_bytes").agg(F.first("evidence").alias("evidence")).drop("content")
 
-    Lengths are counted once per different text, so that copies make no limit. The counts
-    are grouped before anything is gathered: a task holds one source's distinct lengths,
-    never its rows.
+
+def length_model(once: DataFrame) -> DataFrame:
+    """(source, limits): the candidate limits of each source with the log-odds of a cut there.
+
+    They are those of a length beyond the limit against one just there, under the log-normal
+    fitted with the values at the limit and above as censored. Lengths are counted before
+    anything is gathered: a task holds one source's distinct lengths, never its rows.
     """
-    strong = [k for k, w in WEIGHTS.items() if w > 5]
-    once = found.groupBy("source", "content", "n_chars", "n_bytes").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("evidence").isin(strong).cast("int")).alias("strong"))
     both = F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length"))))
-    counts = once.select("source", "rows", "strong", both.alias("m")).groupBy("source", "m.measure", "m.length").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.sum("strong").alias("strong"))
+    counts = once.select("source", both.alias("m")).groupBy("source", "m.measure", "m.length").agg(F.count(F.lit(1)).alias("n"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        source, limits, spikes = group["source"].iat[0], [], set()
+        limits = []
         for measure, own in group.groupby("measure", sort=True):
             lengths, n = own["length"].to_numpy(), own["n"].to_numpy()
             for limit in candidate_limits(lengths, n):
@@ -110,35 +122,133 @@ def length_model(found: DataFrame) -> DataFrame:
                 z = (math.log(limit) - mu) / sigma
                 longer, here = _tail(z), _density(z) / (sigma * limit)
                 limits.append((measure, limit, math.log(max(longer, 1e-12) / max(here, 1e-12)), float(mu), float(sigma), int(n[lengths == limit].sum())))
-                if measure == "chars":
-                    spikes.add(limit)
-        chars = group[(group["measure"] == "chars") & ~group["length"].isin(spikes)]
-        rows, strong_rows = float(chars["rows"].sum()), float(chars["strong"].sum())
-        rate = (strong_rows + 0.5) / (rows + 1.0)
-        return pd.DataFrame({"source": [source], "base": [math.log(rate / (1 - min(rate, 0.999)))], "limits": [limits]})
-
-    schema = T.StructType([found.schema["source"], T.StructField("base", T.DoubleType()), T.StructField("limits", T.ArrayType(T.StructType([T.StructField("measure", T.StringType()), T.StructField("limit", T.IntegerType()), T.StructField("log_odds", T.DoubleType()), T.StructField("mu", T.DoubleType()), T.StructField("sigma", T.DoubleType()), T.StructField("n", T.LongType())])))])
+        return pd.DataFrame({"source": [group["source"].iat[0]], "limits": [limits]})
+
+    schema = T.StructType([once.schema["source"], T.StructField("limits", T.ArrayType(T.StructType([T.StructField("measure", T.StringType()), T.StructField("limit", T.IntegerType()), T.StructField("log_odds", T.DoubleType()), T.StructField("mu", T.DoubleType()), T.StructField("sigma", T.DoubleType()), T.StructField("n", T.LongType())])))])
     return counts.groupBy("source").applyInPandas(run, schema)
 
 
+def placed(df: DataFrame, model: DataFrame) -> DataFrame:
+    """df with at_limit: the greatest log-odds of the limits of its source that the text has the length of, null elsewhere."""
+    joined = df.join(model.select(F.col("source").alias("_source"), "limits"), F.col("source").eqNullSafe(F.col("_source")))
+    here = F.filter("limits", lambda x: F.when(x["measure"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes")) == x["limit"])
+    return joined.withColumn("at_limit", F.array_max(F.transform(here, lambda x: x["log_odds"]))).drop("_source", "limits")
+
+
+class EndingModel(NamedTuple):
+    """What ends texts have that are cut at a limit, cut elsewhere, and whole: shares of KINDS."""
+
+    at_limit: np.ndarray
+    elsewhere: np.ndarray
+    whole: np.ndarray
+
+    def rate(self, counts: np.ndarray, rounds: int = 200) -> float:
+        """The share of cuts among texts at no limit with these counts of ends, by EM from the share of unfinished ones."""
+        rate = counts[:_OPEN].sum() / max(counts.sum(), 1)
+        for _ in range(rounds if rate else 0):
+            yes = rate * self.elsewhere
+            new = (counts * yes / (yes + (1 - rate) * self.whole)).sum() / counts.sum()
+            if abs(new - rate) <= 1e-9 * new:
+                break
+            rate = new
+        return float(min(max(rate, 1e-15), 1 - 1e-9))
+
+
+def _share(log_odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(log_odds, -700, 700)))
+
+
+def fit_endings(odds: np.ndarray, limited: np.ndarray, pools: np.ndarray, rounds: int = 1000) -> EndingModel:
+    """Shares of ends by EM.
+
+    Row k of `limited` counts the texts of each of KINDS where the length gives the log-odds
+    odds[k] of a cut; each row of `pools` those at no limit of sources that cut about equally
+    often, at a rate that is fitted too. A kind of end that comes with cuts keeps in step
+    with the rates of the pools; one that whole texts have does not, and the fit moves it
+    to them.
+    """
+    at_limit = elsewhere = CUT_PRIOR / CUT_PRIOR.sum()
+    whole = np.maximum(pools.sum(axis=0), 0) + np.maximum(WHOLE_PRIOR, LEAST_COUNT)
+    whole[:_OPEN] = 1 + FIRST_SHARE * pools[:, :_OPEN].sum(axis=0)
+    whole /= whole.sum()
+    held = np.maximum(pools.sum(axis=1), 1)
+    rate = np.clip(pools[:, :_OPEN].sum(axis=1) / held, 1e-15, 1 - 1e-9)
+    for _ in range(rounds):
+        here = limited * _share(odds[:, None] + np.log(at_limit) - np.log(whole))
+        there = pools * _share((np.log(rate) - np.log1p(-rate))[:, None] + np.log(elsewhere) - np.log(whole))
+        new = [here.sum(axis=0) + CUT_PRIOR, there.sum(axis=0) + CUT_PRIOR, np.maximum((limited - here).sum(axis=0) + (pools - there).sum(axis=0) + WHOLE_PRIOR, LEAST_COUNT)]
+        new = [x / x.sum() for x in new]
+        moved = max(np.abs(new[0] - at_limit).max(), np.abs(new[1] - elsewhere).max(), np.abs(new[2] - whole).max())
+        at_limit, elsewhere, whole = new
+        rate = np.clip(there.sum(axis=1) / held, 1e-15, 1 - 1e-9)
+        if moved < 1e-10:
+            break
+    return EndingModel(at_limit, elsewhere, whole)
+
+
+def _counts_of_kinds() -> list:
+    return [F.count_if(F.col("evidence") == kind).alias(kind) for kind in KINDS]
+
+
+def ending_counts(places: DataFrame, per_source: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`fit_endings`' input: at most 121 and 42 rows of 18 kinds, however many texts and sources there are."""
+    step = F.round(F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), F.col("at_limit"))) / STEP).cast("int")
+    limited = places.filter("at_limit IS NOT NULL").groupBy(step.alias("step")).agg(*_counts_of_kinds()).orderBy("step").collect()
+    open_, every = (sum((F.col(k) for k in kinds[1:]), F.col(kinds[0])) for kinds in (UNFINISHED, KINDS))
+    power = F.when(open_ > 0, F.greatest(F.lit(-LEAST_POWER), F.floor(F.log2(open_ / every)))).otherwise(F.lit(-LEAST_POWER - 1))
+    pools = per_source.groupBy(power.alias("power")).agg(*[F.sum(k).alias(k) for k in KINDS]).orderBy("power").collect()
+    table = lambda rows: np.array([[float(r[k]) for k in KINDS] for r in rows]).reshape(len(rows), len(KINDS))
+    return np.array([r.step * STEP for r in limited]), table(limited), table(pools)
+
+
+def source_rates(per_source: DataFrame, endings: EndingModel) -> DataFrame:
+    """(source, base): per source the log-odds of a cut away from its limits."""
+
+    @F.pandas_udf(T.DoubleType())
+    def base(*counts: pd.Series) -> pd.Series:
+        rates = [endings.rate(row) for row in np.stack([c.to_numpy(float) for c in counts], axis=1)]
+        return pd.Series([math.log(r) - math.log1p(-r) for r in rates], dtype=float)
+
+    return per_source.select("source", base(*KINDS).alias("base"))
+
+
 def judge(df: DataFrame, doc: str, text: str, source: str) -> DataFrame:
-    """(doc, source, n_chars, evidence, log_odds, is_cut): one row per given text.
+    """(doc, source, n_chars, evidence, at_limit, log_odds, is_cut): one row per given text.
 
     Null texts give no row, blank ones are never cut, repeated rows are judged each, a null
     source is a source of its own, an empty table gives no row; other columns are not read.
+
     Per source a right-censored log-normal is fitted to the lengths by maximum likelihood;
-    the censoring posterior of a value at a candidate limit (elsewhere the source's rate of
-    cuts) is its prior, the evidence at the text's end its likelihood ratio.
+    the censoring posterior of a value at a candidate limit (elsewhere the source's own rate
+    of cuts) is its prior. What ends cut and whole texts have is estimated from all texts
+    by EM over these priors (`fit_endings`); the ratio of the two is the weight of the end found. A text is
+    reported where the posterior says cut and something is left unfinished; a doubtful end,
+    which whole files may have as well, only where the length is a limit. One that ends in
+    nothing open is no case by the problem's definition, however sure the cut.
     """
     found = cut(evidence(df, doc, text, source))
-    model = length_model(found).withColumnRenamed("source", "_source")
-    joined = found.join(model, F.col("source").eqNullSafe(F.col("_source")))
-    here = F.filter("limits", lambda x: F.when(x["measure"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes")) == x["limit"])
-    prior = F.greatest(F.col("base"), F.lit(LEAST_BASE), F.coalesce(F.array_max(F.transform(here, lambda x: x["log_odds"])), F.lit(-1e9)))
-    weight = F.element_at(F.create_map(*[F.lit(v) for kv in WEIGHTS.items() for v in kv]), F.col("evidence"))
-    return joined.select(F.col("doc").alias(doc), F.col("source").alias(source), "n_chars", "evidence", (prior + weight).alias("log_odds"), (prior + weight > 0).alias("is_cut"))
+    once = cut(different_texts(found))
+    model = cut(length_model(once))
+    places = cut(placed(once, model))
+    per_source = cut(places.filter("at_limit IS NULL").groupBy("source").agg(*_counts_of_kinds()))
+    endings = fit_endings(*ending_counts(places, per_source))
+    base = source_rates(per_source, endings).select(F.col("source").alias("_own"), "base")
+    joined = placed(found, model).join(base, F.col("source").eqNullSafe(F.col("_own")), "left")
+
+    def weights(shares: np.ndarray):
+        ratios = np.log(shares) - np.log(endings.whole)
+        return F.element_at(F.create_map(*[F.lit(x) for kind, w in zip(KINDS, ratios.tolist(), strict=True) for x in (kind, w)]), F.col("evidence"))
+
+    limited = F.col("at_limit").isNotNull()
+    prior = F.when(limited, F.col("at_limit")).otherwise(F.col("base"))
+    weight = F.when(limited, weights(endings.at_limit)).otherwise(weights(endings.elsewhere))
+    log_odds = prior + weight
+    can = F.col("evidence").isin(*UNFINISHED) | limited & (F.col("evidence") != FINISHED)
+    return joined.select(F.col("doc").alias(doc), F.col("source").alias(source), "n_chars", "evidence", "at_limit", log_odds.alias("log_odds"), ((log_odds > 0) & can).alias("is_cut"))
 
 
 def rates(judged: DataFrame, source: str) -> DataFrame:
-    """(source, n_texts, n_cut, cut_share) per source."""
-    return judged.groupBy(source).agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("is_cut").cast("bigint")).alias("n_cut")).withColumn("cut_share", F.col("n_cut") / F.col("n_texts"))
+    """(source, n_texts, n_cut, cut_share, expected_share): texts reported, and the mean posterior of a cut, per source."""
+    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_odds")))
+    counted = judged.groupBy(source).agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("is_cut").cast("bigint")).alias("n_cut"), F.avg(posterior).alias("expected_share"))
+    return counted.select(source, "n_texts", "n_cut", (F.col("n_cut") / F.col("n_texts")).alias("cut_share"), "expected_share")
