@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoforge.llm.canonical import UNMATCHED, GeneMatcher, bounded, canonical_values
+from clonoforge.llm.canonical import UNMATCHED, GeneRules, bounded, canonical_by_join, canonical_values, gene_matcher, gene_table, typed_values
 from clonoforge.llm.groups import consolidate, pairs_as_lists
 from clonoforge.llm.leaks import find_leaks
 from clonoforge.llm.packing import fill, pack, token_counts
 from clonoforge.llm.truncation import judge, rates
 from clonoforge.session import table
 
-#: More genes than any species has; a reference beyond it is no gene list (see canonical_by_join).
+#: Genes whose dictionary is broadcast, more than any species has; beyond it the dictionary is a table.
 MOST_GENES = 20_000
 GENE_FIELDS = {"v_gene": "TRB", "va_gene": "TRA"}
 
@@ -43,15 +43,21 @@ SELECT rid, min(least) AS group_id FROM reach GROUP BY rid
 """
 
 
-def _gene_matchers(spark: SparkSession, d: str) -> dict[str, GeneMatcher]:
-    rows = bounded(table(spark, d, "gene_reference").select("chain", "gene", "freq"), MOST_GENES)
-    if rows is None:
-        raise ValueError(f"more than {MOST_GENES} genes: use canonical_by_join")
-    return {field: GeneMatcher(chain, [(r.gene, r.freq or 0.0) for r in rows if r.chain == chain]) for field, chain in GENE_FIELDS.items()}
+def genes_of(records: DataFrame, reference: DataFrame, keep: list[str], most: int = MOST_GENES) -> DataFrame:
+    """(keep..., field, value, name) of the typed genes, by a broadcast dictionary, or for more than `most` genes by a join; the same rows."""
+    rows = bounded(reference.select("chain", "gene", "freq"), most)
+    if rows is not None:
+        matchers = {field: gene_matcher(chain, [(r.gene, r.freq or 0.0) for r in rows if r.chain == chain]) for field, chain in GENE_FIELDS.items()}
+        return canonical_values(records, matchers, keep)
+    fields = F.create_map(*[F.lit(x) for field, chain in GENE_FIELDS.items() for x in (chain, field)])
+    listed = reference.withColumn("field", F.element_at(fields, F.col("chain"))).filter(F.col("field").isNotNull())
+    typed = typed_values(records, list(GENE_FIELDS), keep)
+    unlisted = typed.join(listed.select("field", F.col("gene").alias("value")), ["field", "value"], "left_anti")
+    return unlisted.join(canonical_by_join(unlisted, gene_table(listed), GeneRules(), ["field"]), ["field", "value"]).select(*keep, "field", "value", "name")
 
 
 def _genes(spark: SparkSession, d: str) -> DataFrame:
-    return canonical_values(table(spark, d, "chain_records"), _gene_matchers(spark, d), ["rid"])
+    return genes_of(table(spark, d, "chain_records"), table(spark, d, "gene_reference"), ["rid"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
