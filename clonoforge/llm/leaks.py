@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clonoforge.session import cut
+
 WORD = re.compile(rb"[a-z0-9]+")
 #: Words of a passage of the corpus, and how far the next begins: every `shared` words in a
 #: row stand whole in some passage.
@@ -22,8 +26,11 @@ PASSAGE = 40
 GRAM = 3
 #: Items of one index; more are searched block by block.
 BLOCK_ITEMS = 20_000
+#: Bytes of indexes that one scan of the texts searches; the blocks beyond take another scan.
+SCAN_BYTES = 256_000_000
 K1, B = 1.2, 0.75
 _BLOCK = 16  # postings under one maximum
+_WORD64 = (1 << 64) - 1
 
 
 def words(text: str) -> list[bytes]:
@@ -50,8 +57,6 @@ class Index:
                 self.ids.append(item)
                 texts.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found])
         self.width = len(self.vocabulary) + 1
-        if self.width**self.gram >= 2**63:
-            raise ValueError(f"{self.width} words are too many for one index: use smaller blocks")
         terms = [[self.term(t[i : i + self.gram]) for i in range(len(t) - self.gram + 1)] for t in texts]
         counts: list[dict[int, int]] = []
         frequency: dict[int, int] = {}
@@ -73,15 +78,16 @@ class Index:
                 docs, impacts = postings.setdefault(p, ([], []))
                 docs.append(k)
                 impacts.append(w / least)
-        self.terms = np.array(sorted(postings), np.int64)
+        self.terms = np.array(sorted(postings), np.uint64)
         self.lists = [postings[int(p)] for p in self.terms]
         self.blocks = [[max(x[i : i + _BLOCK]) for i in range(0, len(x), _BLOCK)] for _, x in self.lists]
         self.most = np.array([max(x) for _, x in self.lists], np.float64)
 
     def term(self, run: Sequence[int]) -> int:
+        """The run as one number of 64 bits. Should two runs ever share one, they are one term on both sides, and no match is lost."""
         out = 0
         for w in run:
-            out = out * self.width + w
+            out = (out * self.width + w) & _WORD64
         return out
 
     def wand(self, query: Sequence[int], threshold: float = 1.0 - 1e-9) -> list[int]:
@@ -127,8 +133,8 @@ class Index:
             heads = moved + heads[pivot + 1 :]
         return out
 
-    def search(self, texts: Sequence[str | None]) -> Iterator[tuple[int, object]]:
-        """(place of the text, item) for each text and item that share `shared` words in a row."""
+    def search(self, texts: Sequence[list[bytes]]) -> Iterator[tuple[int, object]]:
+        """(place of the text, item) for each text, given as its words, and item that share `shared` words in a row."""
         if not self.ids:
             return
         look = self.vocabulary.get
@@ -136,10 +142,9 @@ class Index:
         starts = []
         for text in texts:
             starts.append(len(flat))
-            if text:
-                flat += [look(w, 0) for w in words(text)]
+            flat += [look(w, 0) for w in text]
             flat.append(0)  # parts two texts
-        ids = np.array(flat, np.int64)
+        ids = np.array(flat, np.uint64)
         if len(ids) < self.shared:
             return
         runs = len(ids) - self.gram + 1
@@ -147,9 +152,9 @@ class Index:
         for k in range(self.gram):
             known &= ids[k : runs + k] > 0
         known = np.flatnonzero(known)
-        run = np.zeros(len(known), np.int64)
+        run = np.zeros(len(known), np.uint64)
         for k in range(self.gram):
-            run = run * self.width + ids[known + k]
+            run = run * np.uint64(self.width) + ids[known + k]
         at = np.searchsorted(self.terms, run)
         at[at == len(self.terms)] = 0
         hit = self.terms[at] == run
@@ -177,7 +182,21 @@ class Index:
             yield text, self.ids[k]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, passage: str, shared: int = 12, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def indexes(items: DataFrame, item: str, passage: str, shared: int = 12, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(block, held): an index of about `block_items` items each, built in tasks and stored in the shared folder."""
+    chosen = items.select(F.col(item).alias("item"), F.col(passage).alias("passage")).filter(F.col("passage").isNotNull())
+    blocks = max(1, math.ceil(chosen.count() / block_items))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values(["item", "passage"], kind="stable")
+        own = Index([(k, text) for k, text in zip(ordered["item"].tolist(), ordered["passage"], strict=True)], shared)
+        return pd.DataFrame({"block": [int(group["block"].iat[0])], "held": [pickle.dumps(own)]})
+
+    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)).cast("int"))
+    return cut(dealt.groupBy("block").applyInPandas(build, "block int, held binary"))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, passage: str, shared: int = 12, block_items: int = BLOCK_ITEMS, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """(doc, item): every pair in which `shared` words in a row of the passage also stand in the text.
 
     All passages of all whole texts are queries against the index. Null and blank texts and
@@ -185,23 +204,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str
     reported; repeated rows of docs are reported each; other columns are not read; empty
     tables give no row.
 
-    The items are a stated set of bounded size: each index holds at most about `block_items`
-    of them and is broadcast; more items are searched in blocks by the same plan, one scan
-    of the texts each. No text is shuffled.
+    Indexes hold about `block_items` items each and are built in tasks. One scan of the texts
+    searches as many of them as fit `scan_bytes`, which bounds what is broadcast; its words
+    are read once for all of them. Further blocks take further scans, each stored before the
+    next begins. No text is shuffled.
     """
     spark = docs.sparkSession
-    chosen = items.select(F.col(item).alias("item"), F.col(passage).alias("passage")).filter(F.col("passage").isNotNull())
-    blocks = max(1, math.ceil(chosen.count() / block_items))
+    built = indexes(items, item, passage, shared, block_items)
+    scans: list[list[int]] = []
+    room = 0
+    for r in built.select("block", F.length("held").alias("n")).orderBy("block").toLocalIterator():
+        if not scans or r.n > room:
+            scans.append([])
+            room = scan_bytes
+        scans[-1].append(r.block)
+        room -= r.n
     read = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     kind = items.schema[item].dataType
     schema = T.StructType([T.StructField(doc, docs.schema[doc].dataType), T.StructField(item if item != doc else f"_{item}", kind)])
     arrow_kind = pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else None
     out = None
-    for k in range(blocks):
-        own = chosen.filter(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == k).orderBy("item", "passage").collect()
-        index = spark.sparkContext.broadcast(Index([(r.item, r.passage) for r in own], shared))
+    for blocks in scans:
+        shared_indexes = spark.sparkContext.broadcast([r.held for r in built.filter(F.col("block").isin(blocks)).orderBy("block").collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=shared_indexes) -> Iterator[pa.RecordBatch]:
+            own = [pickle.loads(x) for x in held.value]
             for batch in batches:
                 sizes = np.cumsum([len(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]) if batch.num_rows else []
                 begin = 0
@@ -209,11 +236,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str
                     past = sizes[begin - 1] if begin else 0
                     end = max(begin + 1, int(np.searchsorted(sizes, past + 4_000_000, "right")))
                     part = batch.slice(begin, end - begin)
-                    pairs = list(index.value.search(part.column(1).to_pylist()))
+                    texts = [words(x) for x in part.column(1).to_pylist()]
+                    pairs = [pair for index in own for pair in index.search(texts)]
                     docs_found = part.column(0).take(pa.array([p for p, _ in pairs], pa.int32()))
                     yield pa.RecordBatch.from_arrays([docs_found, pa.array([i for _, i in pairs], arrow_kind)], names=schema.names)
                     begin = end
 
         found = read.mapInArrow(run, schema)
+        if len(scans) > 1:
+            found = cut(found)
+            shared_indexes.unpersist()
         out = found if out is None else out.unionByName(found)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
