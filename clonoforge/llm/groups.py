@@ -36,42 +36,61 @@ def edges_of(lists: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _hooks(edges: DataFrame, seed: int) -> DataFrame:
-    """(v, r): each vertex and the one of its closed neighbourhood with the least fresh hash."""
+    """(v, r, degree): each vertex, the one of its closed neighbourhood with the least fresh hash, and how many neighbours it has."""
     order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("h"), F.col(c).alias("v"))
     ends = F.inline(F.array(F.struct(F.col("a").alias("v"), order("b").alias("o")), F.struct(F.col("b").alias("v"), order("a").alias("o"))))
-    best = edges.select(ends).groupBy("v").agg(F.min("o.h").alias("h"), F.min_by("o.v", "o.h").alias("w"))
+    best = edges.select(ends).groupBy("v").agg(F.min("o.h").alias("h"), F.min_by("o.v", "o.h").alias("w"), F.count(F.lit(1)).alias("degree"))
     own = F.xxhash64(F.col("v"), F.lit(seed))
-    return best.select("v", F.when(own <= F.col("h"), F.col("v")).otherwise(F.col("w")).alias("r"))
+    return best.select("v", F.when(own <= F.col("h"), F.col("v")).otherwise(F.col("w")).alias("r"), "degree")
 
 
-def contract(edges: DataFrame, seed: int = 17, most_rounds: int = 200) -> DataFrame:
+def _rooted(hooks: DataFrame) -> DataFrame:
+    """(v, r) with each hook followed twice more: v -> r -> r's hook -> its hook, all in one contraction."""
+    up = hooks.select(F.col("v").alias("r"), F.col("r").alias("up"))
+    return hooks.join(up, "r").select("v", F.col("up").alias("r")).join(up, "r").select("v", F.col("up").alias("r"))
+
+
+def _renamed(edges: DataFrame, hooks: DataFrame, hubs: DataFrame, end: str) -> DataFrame:
+    """edges with one end renamed. Edges of hubs meet a broadcast, so that no task gets a hub's edges; the rest are joined by hash."""
+    near = hooks.select(F.col("v").alias(end), F.col("r").alias("_to"))
+    few = F.broadcast(hubs.select(F.col("v").alias(end), F.col("r").alias("_to")))
+    both = edges.join(few, end).unionByName(edges.join(few, end, "left_anti").join(near, end))
+    return both.drop(end).withColumnRenamed("_to", end)
+
+
+#: A hub has more than this share of all edges' ends; there are at most 2 / HUB_SHARE of them.
+HUB_SHARE = 0.002
+
+
+def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     """(v, label): every vertex of edges (a, b) with one label per connected component.
 
     Each round every vertex hooks to the member of its closed neighbourhood whose hash
-    under the round's seed is least, both ends of the edges are renamed to what they hooked
-    to, loops fall away and equal edges become one. At least a constant share of the
-    vertices goes each round, so the rounds are logarithmic and their total size is a
-    multiple of the first. The hooks of all rounds are then expanded from the last to the
-    first. Every round is stored in the shared checkpoint folder: no lineage grows and no
-    link, component or label ever comes to the driver, only the count of edges left.
+    under the round's seed is least, hooks are followed to the hook's hook, both ends of the
+    edges are renamed, loops fall away and equal edges become one. Every round at least
+    the vertex of greatest hash in each component goes, so it ends by itself; a constant
+    share of the vertices is expected to go, so the rounds are logarithmic and their total
+    size is a multiple of the first. The hooks of all rounds are then expanded from the last
+    to the first, each step stored, so that no plan grows with the rounds. Every round is a
+    table in the shared checkpoint folder: no link, component or label comes to the driver,
+    only the count of edges left. Vertices with more than HUB_SHARE of the ends are renamed by
+    a broadcast of at most 1,000 rows.
     """
     rounds: list[DataFrame] = []
     edges = cut(edges)
-    while not edges.isEmpty():
-        if len(rounds) == most_rounds:
-            raise RuntimeError(f"not contracted after {most_rounds} rounds")
-        hooks = cut(_hooks(edges, seed + 7919 * len(rounds)))
+    while left := edges.count():
+        hooked = cut(_hooks(edges, seed + 7919 * len(rounds)))
+        hooks = cut(_rooted(hooked.select("v", "r")))
         rounds.append(hooks)
-        left = hooks.select(F.col("v").alias("a"), F.col("r").alias("ra"))
-        right = hooks.select(F.col("v").alias("b"), F.col("r").alias("rb"))
-        renamed = edges.join(left, "a").join(right, "b").filter(F.col("ra") != F.col("rb"))
-        edges = cut(renamed.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        hubs = hooked.filter(F.col("degree") > HUB_SHARE * left).select("v").join(hooks, "v")
+        renamed = _renamed(_renamed(edges, hooks, hubs, "a"), hooks, hubs, "b").filter(F.col("a") != F.col("b"))
+        edges = cut(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not rounds:
         return edges.select(F.col("a").alias("v"), F.col("a").alias("label"))
     labels = rounds[-1].select("v", F.col("r").alias("label"))
     for hooks in reversed(rounds[:-1]):
         above = labels.select(F.col("v").alias("r"), "label")
-        labels = hooks.join(above, "r", "left").select("v", F.coalesce("label", "r").alias("label"))
+        labels = cut(hooks.join(above, "r", "left").select("v", F.coalesce("label", "r").alias("label")))
     return labels
 
 
