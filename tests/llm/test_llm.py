@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clonoforge.llm import canonical, endings, groups, leaks, packing, truncation
+from clonoforge.llm.queries import genes_of
 
 
 def plain_groups(lists, known):
@@ -59,36 +60,78 @@ def plain_weighted(a, b, cost):
 def test_symmetric_deletes_find_all(spark):
     rng = random.Random(3)
     names = ["".join(rng.choice("ABCD") for _ in range(rng.randint(4, 9))) for _ in range(80)]
-    matcher = canonical.Matcher([(n, n, float(k)) for k, n in enumerate(names)], allowed=lambda w: 2)
-    for _ in range(200):
-        word = "".join(rng.choice("ABCD") for _ in range(rng.randint(3, 10)))
-        found = [(plain_weighted(word, n, canonical.unit_cost), -k, n) for k, n in enumerate(names)]
-        exact = [f for f in found if f[0] <= 2]
-        assert matcher.lookup(word) == (min(exact)[2] if exact else canonical.UNMATCHED)
-    values = spark.createDataFrame([("Munchen",), ("münchen",), ("xx",), (None,), ("Berlim",)], "value string")
-    cities = spark.createDataFrame([("Berlin", 2.0), ("Muenchen", 1.0), ("Munchen", 1.0)], "name string, frequency double")
-    assert {r.value: r.name for r in canonical.canonical_by_join(values, cities, 1).collect()} == {"Munchen": "Munchen", "münchen": "Munchen", "xx": "UNMATCHED", "Berlim": "Berlin"}
+    rules = canonical.Rules(allowed=lambda w: 2)
+    entries = [(n, n, float(k)) for k, n in enumerate(names)]
+    matcher = canonical.Matcher(entries, rules)
+    words = ["".join(rng.choice("ABCD") for _ in range(rng.randint(3, 10))) for _ in range(200)]
+    want = {}
+    for word in words:
+        exact = [f for f in ((plain_weighted(word, n, canonical.unit_cost), -k, n) for k, n in enumerate(names)) if f[0] <= 2]
+        want[word] = min(exact)[2] if exact else canonical.UNMATCHED
+        assert matcher.lookup(word) == want[word]
+    listed = spark.createDataFrame(entries, "spelling string, name string, frequency double")
+    values = spark.createDataFrame([(w,) for w in words] + [(None,), (words[0],)], "value string")
+    assert {r.value: r.name for r in canonical.canonical_by_join(values, listed, rules).collect()} == want
+
+
+def test_short_keys_lose_nothing():
+    class Petty(canonical.Rules):
+        prefix, petty, from_end = 3, 2, True
+
+        def is_petty(self, c):
+            return c in "-0"
+
+    rng = random.Random(8)
+    cost = lambda x, y: 0.1 if (not x or x in "-0") and (not y or y in "-0") else 1.0
+    rules = Petty(1, normalise=str, cost=cost, allowed=lambda w: 1.2 + 1e-9)
+    names = sorted({"".join(rng.choice("AB-0") for _ in range(rng.randint(5, 9))) for _ in range(60)})
+    matcher = canonical.Matcher([(n, n, 0.0) for n in names], rules)
+    for _ in range(300):  # one letter and up to two petty edits away from a name
+        word = list(rng.choice(names))
+        for _ in range(rng.randint(0, 2)):
+            word.insert(rng.randrange(len(word) + 1), rng.choice("-0"))
+        if rng.random() < 0.5:
+            word.insert(rng.randrange(len(word) + 1), rng.choice("AB"))
+        word = "".join(word)
+        within = [d for n in names if (d := plain_weighted(word, n, cost)) <= 0.2 + 1e-9]  # two petty edits
+        assert matcher.nearest(word)[0] <= min(within, default=1.2) + 1e-9
+
+
+def test_long_values_are_searched():
+    name = "Institute of the molecular biology of rare organisms and applied sciences in Ulm"
+    matcher = canonical.Matcher([(canonical.fold(name), name, 1.0)])
+    assert len(name) > 75 and matcher.lookup(name.replace("rare", "raer")) == name and matcher.lookup(name[:40]) == canonical.UNMATCHED
+    assert matcher.lookup("x" * 1_000_000) == canonical.UNMATCHED
 
 
 GENES = [("TRBV1-1", 0.3), ("TRBV4", 0.1), ("TRBV10-2", 0.2), ("TRBV11-2", 0.2)]
 TYPED = {
     "trbv1-1": "TRBV1-1", "TCRBV10-02": "TRBV10-2", "TRBVl-I": "TRBV1-1", "Vβ 10.2": "TRBV10-2", "T-cell receptor beta variable 4": "TRBV4", "ＴＲＢＶ４": "TRBV4", "TRBV10_2*03": "TRBV10-2", "TRVB4": "TRBV4", "TRBBV4": "TRBV4",
     "RBV11-2": "TRBV11-2", "(Trbv4)": "TRBV4", "TRBV4 - checked": "TRBV4", "hsTRBV11--2 (F)": "TRBV11-2", "IMGT:TRBV4?": "TRBV4", "ТRBѴ4": "TRBV4", "TRB4": "TRBV4", "TRV4": "TRBV4",
-    "TRBV1": "UNMATCHED", "TRBV4-1": "UNMATCHED", "TRBV2-1": "UNMATCHED", "TRBJ1-1": "UNMATCHED", "TRGV4": "UNMATCHED", "TRAV1-1": "UNMATCHED", "IGHV1-1": "UNMATCHED", "CD4": "UNMATCHED", "see notes": "UNMATCHED", "?": "UNMATCHED", "x" * 5000: "UNMATCHED",
+    "TRBV1": "UNMATCHED", "TRBV4-1": "UNMATCHED", "TRBV2-1": "UNMATCHED", "TRBJ1-1": "UNMATCHED", "TRGV4": "UNMATCHED", "TRAV1-1": "UNMATCHED", "IGHV1-1": "UNMATCHED", "CD4": "UNMATCHED", "see notes": "UNMATCHED", "?": "UNMATCHED", "x" * 5000: "UNMATCHED", "T4BV4": "TRBV4", "BV10 - 2": "TRBV10-2", "TRBV1O-2": "TRBV10-2", "TRBVlO_2 [manual]": "TRBV10-2", "TRBV11 1": "UNMATCHED", "TRBV102": "UNMATCHED", "TRBV1-0-2": "UNMATCHED", "UNMATCHED": "UNMATCHED",
 }
 
 
 def test_genes(spark):
-    matcher = canonical.GeneMatcher("TRB", GENES)
+    matcher = canonical.gene_matcher("TRB", GENES)
     assert {v: matcher.lookup(v) for v in TYPED} == TYPED
-    alpha = canonical.GeneMatcher("TRA", [("TRAV6/DV4", 1.0), ("TRAV14", 1.0)])
-    assert [alpha.lookup(x) for x in ("AV6 / DV4", "Vα6_DV4", "TRAV6", "TRAV14/DV4", "TCRAV06/DV4")] == ["TRAV6/DV4", "TRAV6/DV4", "UNMATCHED", "UNMATCHED", "TRAV6/DV4"]
-    rows = [(1, "trbv4", "a"), (1, "trbv4", "a"), (2, "TRBV4", "a"), (3, " na ", "a"), (4, None, "a"), (5, "", "a"), (6, "odd", "a")]
+    alpha = canonical.gene_matcher("TRA", [("TRAV6/DV4", 1.0), ("TRAV14", 1.0)])
+    assert [alpha.lookup(x) for x in ("AV6 / DV4", "Vα6_DV4", "TRAV6", "TRAV14/DV4", "TCRAV06/DV4", "RTAV6DV4")] == ["TRAV6/DV4", "TRAV6/DV4", "UNMATCHED", "UNMATCHED", "TRAV6/DV4", "TRAV6/DV4"]
+    rows = [(1, "trbv4", "a"), (1, "trbv4", "a"), (2, "TRBV4", "a"), (3, " na ", "a"), (4, None, "a"), (5, "", "a"), (6, "odd", "a"), (7, "UNMATCHED", "a")]
     df = spark.createDataFrame(rows, "rid int, v_gene string, field string")
     out = canonical.canonical_values(df, {"v_gene": matcher}, ["rid", "field"])
     assert out.columns == ["rid", "field", "_field", "value", "name"]
-    assert sorted((r.rid, r.name) for r in out.collect()) == [(1, "TRBV4"), (1, "TRBV4"), (6, "UNMATCHED")]
-    assert canonical.bounded(df, 3) is None and len(canonical.bounded(df, 7)) == 7
+    assert sorted((r.rid, r.name) for r in out.collect()) == [(1, "TRBV4"), (1, "TRBV4"), (6, "UNMATCHED"), (7, "UNMATCHED")]
+    assert canonical.bounded(df, 3) is None and len(canonical.bounded(df, 8)) == 8
+
+
+def test_a_reference_too_large_to_broadcast_gives_the_same(spark):
+    typed = [(k, v, "AV6/DV4") for k, v in enumerate(v for v in TYPED if len(v) < 100)] + [(1000, None, "TRAV14 (F)"), (1001, "TRBV4", "TRAV14")]
+    records = spark.createDataFrame(typed, "rid int, v_gene string, va_gene string")
+    listed = [(g, "TRB", f) for g, f in GENES] + [("TRAV6/DV4", "TRA", 0.5), ("TRAV14", "TRA", None)]
+    reference = spark.createDataFrame(listed, "gene string, chain string, freq double")
+    got = [sorted(tuple(r) for r in genes_of(records, reference, ["rid"], most).collect()) for most in (100, 3)]
+    assert got[0] == got[1] and len(got[0]) == 2 * len(typed) - 3
 
 
 def best_fill(lengths, room):
@@ -129,6 +172,21 @@ def test_packing(spark):
         packing.pack_shard([5], 4)
 
 
+def test_a_giant_item_fills_containers_of_its_own(spark):
+    sizes = spark.createDataFrame([(1, 64_003), (2, 10), (3, 64)], "doc int, n int")
+    targets = spark.createDataFrame([("t", 64)], "target string, capacity int")
+    out = packing.pack(sizes, targets, "doc", "n", "target", "capacity", shard_items=100)
+    rows = out.collect()
+    assert sum(r.length for r in rows) == 64_077 and len(rows) == 1003
+    room = {}
+    for r in rows:
+        room.setdefault(r.container_id, []).append(r.length)
+    assert len(room) == 1002 and max(map(sum, room.values())) == 64
+    assert sorted((r.start, r.length) for r in rows if r.doc == 1) == [(64 * k, min(64, 64_003 - 64 * k)) for k in range(1001)]
+    assert packing.fill(out, targets, "target", "capacity").first().n_containers == 1002
+    assert packing.pack(sizes, targets.limit(0), "doc", "n", "target", "capacity").count() == 0
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "def f(x): return x"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "ab " * 20_000)], "doc int, text string")
     got = {r.doc: r.n_tokens for r in packing.token_counts(df, "text", ["doc"]).collect()}
@@ -158,17 +216,19 @@ def test_leaks_against_brute_force(spark):
     docs += [(900, None), (901, " "), (902, "K" + items[0][1])]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc int, text string, item string")
     it = spark.createDataFrame(items, "item int, passage string")
-    for blocks in (20_000, 20):
-        got = {tuple(r) for r in leaks.find_leaks(df, it, "doc", "text", "item", "passage", 8, blocks).collect()}
+    for blocks, scan_bytes in ((20_000, leaks.SCAN_BYTES), (20, leaks.SCAN_BYTES), (20, 1)):
+        got = {tuple(r) for r in leaks.find_leaks(df, it, "doc", "text", "item", "passage", 8, blocks, scan_bytes).collect()}
         assert got == plain_leaks(docs, items, 8)
     assert leaks.find_leaks(df.limit(0), it, "doc", "text", "item", "passage").count() == 0
     assert leaks.find_leaks(df, it.limit(0), "doc", "text", "item", "passage").count() == 0
 
 
-def test_wand_equals_full_scoring():
+@pytest.mark.parametrize("vocabulary,longest", [(9, 8), (3, 50)])
+def test_wand_equals_full_scoring(vocabulary, longest):
     rng = random.Random(7)
-    items = [(k, " ".join(f"w{rng.randint(0, 8)}" for _ in range(30))) for k in range(80)]
+    items = [(k, " ".join(f"w{rng.randint(0, vocabulary - 1)}" for _ in range(30))) for k in range(80)]
     index = leaks.Index(items, 6)
+    assert max(len(docs) for docs, _ in index.lists) >= longest  # with few words lists are long and their blocks decide
     for _ in range(50):
         query = sorted(rng.sample(range(len(index.terms)), 12))
         scores = {}
@@ -179,6 +239,24 @@ def test_wand_equals_full_scoring():
             assert index.wand(query, threshold) == sorted(d for d, s in scores.items() if s >= threshold - 1e-12)
 
 
+def test_terms_that_collide_lose_nothing():
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randint(0, 30)}" for _ in range(20))) for k in range(30)]
+
+    class Colliding(leaks.Index):
+        def term(self, run):
+            return sum(run) % 7
+
+    index = Colliding(items, 6)
+    for k, text in items:
+        query = sorted({int(np.searchsorted(index.terms, index.term(run))) for run in zip(*(index_words(index, text)[i:] for i in range(3)))})
+        assert k in index.wand(query)
+
+
+def index_words(index, text):
+    return [index.vocabulary[w] for w in leaks.words(text)]
+
+
 WHOLE = [
     "", "  \n", None, "# Title\n\nSome text here ends well.\n", "# Title\n\n- one item\n- another item", "| a | b |\n|---|---|\n| 1 | 2 |", "More notes may follow later...", "def f(x):\n    y = x + 1\n    return y", "x = [\n    (1, \"a\"),\n]\n",
     "package main\n\nfunc f(a int) int {\n\treturn a\n}\n", "int f(int a) {\n  return a; // it's fine (really\n}\n", "const a = { b: 1 };\nfunction f() { return `x${a}`; }\n", '{"a": [1, 2], "b": "c"}', ".a {\n  color: red;\n}", "/* note */\nint x;\n",
@@ -191,11 +269,18 @@ CUT = [
 
 
 def test_endings():
-    assert [t for t in WHOLE if endings.ending(t) not in (None, "line", "dots")] == []
-    assert [t for t in CUT if endings.ending(t) in (None, "line", "dots")] == []
+    assert [t for t in WHOLE if endings.ending(t) in endings.UNFINISHED] == []
+    assert [t for t in CUT if endings.ending(t) not in endings.UNFINISHED] == []
     assert endings.ending("def f(x):\n    y = '" + "a" * 300_000) == "string"
 
 
+def test_endings_have_no_windows():
+    assert endings.ending(" " * 5000 + '{"a": [1, 2], "b') == "string" and endings.kind_of(" " * 5000 + '{"a": 1}') == "json"
+    assert endings.ending("Some text that ends here. <!-- " + " " * 300 + "truncated" + " " * 300 + " -->") == "mark"
+    assert endings.ending("Some text here ---- " + " " * 200 + "cut" + " " * 200 + " ----") == "mark"
+    assert endings.ending("Some text that ends " + "." * 500) == "dots" and endings.ending("f(a)[1]{}") != "mark"
+
+
 def test_censored_fit():
     rng = np.random.default_rng(1)
     lengths = np.minimum(np.exp(rng.normal(7.0, 0.8, 20_000)).astype(int) + 1, 2500)
@@ -227,13 +312,37 @@ def test_judge(spark):
 
 
 def test_a_seldom_cut_is_still_a_cut(spark):
-    whole = spark.range(20_000).selectExpr("id AS doc", "concat('This text ends well, number ', id, repeat(' and so on', cast(id % 37 as int)), '.') AS text", "'seldom' AS source")
-    cut_ = spark.createDataFrame([(20_000, "def f(x):\n    y = 'an open strin", "seldom")], "doc long, text string, source string")
+    whole = spark.range(100_000).selectExpr("id AS doc", "concat('This text ends well, number ', id, repeat(' and so on', cast(id % 37 as int)), '.') AS text", "'seldom' AS source")
+    ends = ["def f(x):\n    y = 'an open strin", "def f(x):\n    y = g(x, ", "int f(int a) {\n  return a;\n", "int f(int a) {\n  /* this comment", '{"a": [1, 2], "b']
+    cut_ = spark.createDataFrame([(100_000 + k, t, "seldom") for k, t in enumerate(ends)], "doc long, text string, source string")
     judged = truncation.judge(whole.unionByName(cut_), "doc", "text", "source")
-    assert [r.doc for r in judged.filter("is_cut").collect()] == [20_000]
+    assert sorted(r.doc for r in judged.filter("is_cut").collect()) == [100_000 + k for k in range(5)]
+
+
+def test_an_end_that_whole_texts_have_is_learned():
+    """A kind of end that stands in the same share of all sources, however seldom they cut, is no sign of a cut."""
+    kinds = truncation.KINDS
+    row = lambda **n: [float(n.get(k, 0)) for k in kinds]
+    pools = np.array([row(none=100_000, statement=300), row(none=50_000, statement=150, string=50, bracket=50), row(none=8000, statement=24, string=1000, bracket=1000)])
+    model = truncation.fit_endings(np.zeros(0), np.zeros((0, len(kinds))), pools)
+    ratio = np.log(model.elsewhere / model.whole)
+    at = kinds.index
+    assert ratio[at("string")] > 8 and ratio[at("bracket")] > 8 and ratio[at("statement")] < 2
+    assert model.rate(pools[2]) == pytest.approx(0.2, abs=0.01) and model.rate(pools[0]) < 1e-3
+
+
+def test_a_doubtful_end_counts_at_a_limit_only(spark):
+    rng = random.Random(10)
+    body = lambda k: "".join(f"Sentence {rng.randint(1, 10 ** 6)} of text {k} ends here. " for _ in range(rng.randint(2, 60)))
+    rows = [(k, body(k)[:900], "limited") for k in range(800)] + [(5000, body(1)[:400] + "\n\nKept by the team", "limited")]
+    rows = [(d, (t[:897] + "...") if len(t) == 900 else t, s) for d, t, s in rows]
+    judged = {r.doc: r for r in truncation.judge(spark.createDataFrame(rows, "doc int, text string, source string"), "doc", "text", "source").collect()}
+    dotted = [d for d, t, _ in rows if t.endswith("...")]
+    assert len(dotted) > 100 and all(judged[d].evidence == "dots" and judged[d].is_cut for d in dotted)
+    assert judged[5000].evidence == "short" and not judged[5000].is_cut
 
 
 def test_comment_behind_code():
     code = "import os\n\ndef f(y):\n    return y\n\nx = f(y)  # "
     assert endings.ending(code + "taken from the") == "sentence" and endings.ending("int x = 1; // because of the") == "sentence"
-    assert endings.ending(code + "the reason is that we") == "line" and endings.ending(code + "It is done.") is None
+    assert endings.ending(code + "the reason is that we") == "note" and endings.ending(code + "It is done.") == "none"
