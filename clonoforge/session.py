@@ -30,12 +30,17 @@ def build_session(master: str | None = None, app: str = "clonoforge", **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; set to a private one only where none is named (tests)."""
+    """The folder spark.checkpoint.dir names; a private one only where none is named and the master is local (tests).
+
+    On a cluster executors do not share a machine's own folder, so there none may be missing.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix=f"clonoforge-{os.getpid()}-")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
