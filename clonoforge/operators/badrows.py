@@ -6,13 +6,16 @@ import csv
 import math
 import re
 import sys
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clonoforge.session import cut
+
 SEPARATORS = "\t,;|"
 REASONS = ("quoting", "columns", "beta", "alpha", "counts", "subject")
 RECORD_FIELDS = ("subject", "condition", "beta", "alpha", "v_gene", "j_gene", "va_gene", "ja_gene")
@@ -95,55 +98,171 @@ class Layout:
         return reason, out
 
 
-def parse_chain_lines(lines: DataFrame, line_id: str = "line_id", file_name: str = "file_name", line_no: str = "line_no", line: str = "line") -> DataFrame:
-    """Every data line once: line_id, file_name, line_no, the fields of a record, reason, line.
+class _Quotes:
+    """Where a strict reader stands in a record, one physical line after the other: its state between two of them."""
+
+    def __init__(self, separator: str):
+        self.separator = separator
+        self.opens = re.compile(rf'(?:^|{re.escape(separator)})"')
+
+    def after(self, line: str, inside: bool) -> bool | None:
+        """Whether a quote is open behind the line; None where one closes before its field ends."""
+        at = 0
+        while True:
+            if not inside:
+                m = self.opens.search(line) if at == 0 else self.opens.search(line, at)
+                if m is None or at and m.start() < at:
+                    return False
+                at, inside = m.end(), True
+            end = line.find('"', at)
+            if end < 0:
+                return True
+            if line[end + 1 : end + 2] == '"':
+                at = end + 2
+                continue
+            if end + 1 < len(line) and line[end + 1] != self.separator:
+                return None
+            at, inside = end + 1, False
+            if at >= len(line):
+                return False
+
+
+def assemble(lines: Iterable[str], separator: str = ",", width: int | None = None, most: int = 64_000_000) -> Iterator[str]:
+    """Physical lines to records, for raw text in which a quoted field may hold line ends.
+
+    A line whose quote is open is joined with the next ones until the quote closes where a
+    field ends. If it closes inside a field instead, or the record has not `width` fields, or
+    the text ends first, or the record grows beyond `most` characters (the greatest a record
+    may have, a bound on memory), the quote was broken: its line is a record of its own, and
+    reading goes on with the next line. A broken quote thus never swallows what follows. Lines
+    are looked at twice at most up to the next line with a quote, so the time is linear.
+    """
+    quotes = _Quotes(separator)
+    source = iter(lines)
+    waiting: deque[str] = deque()  # lines that were looked at and given back
+    while True:
+        if waiting:
+            first = waiting.popleft()
+        elif (first := next(source, None)) is None:
+            return
+        state = quotes.after(first, False)
+        if not state:
+            yield first
+            continue
+        held, size, looked, closed = [first], len(first), 0, False
+        while size <= most:
+            if looked < len(waiting):
+                line = waiting[looked]
+            elif (line := next(source, None)) is None:
+                break
+            else:
+                waiting.append(line)
+            looked += 1
+            held.append(line)
+            size += len(line) + 1
+            state = quotes.after(line, True)
+            if not state:
+                closed = state is False
+                break
+        record = "\n".join(held)
+        if closed and width is not None:
+            fields = parse_strict(record, separator)
+            closed = fields is not None and len(fields) == width
+        if closed:
+            for _ in range(looked):
+                waiting.popleft()
+            yield record
+        else:
+            yield first
+
+
+def _record_columns(out: dict[str, list]) -> list[pa.Array]:
+    return [pa.array(out[c], pa.string()) for c in RECORD_FIELDS] + [pa.array(out["counts"], pa.float64()), pa.array(out["reason"], pa.string()), pa.array(out["line"], pa.string())]
+
+
+_PARSED = [*(T.StructField(c, T.StringType()) for c in RECORD_FIELDS), T.StructField("counts", T.DoubleType()), T.StructField("reason", T.StringType()), T.StructField("line", T.StringType())]
+
+
+def parse_records(lines: Iterable[str], layout: Layout, out: dict[str, list]) -> int:
+    """Assembles and parses lines of one layout into the lists of `out`; how many records there were."""
+    n = 0
+    for record in assemble(lines, layout.separator, layout.width):
+        if not record.strip():
+            continue
+        reason, fields = layout.record(record)
+        for c in out:
+            out[c].append(fields.get(c))
+        out["reason"][-1], out["line"][-1] = reason, record
+        n += 1
+    return n
+
 
-    A valid line has reason null and all its fields; a faulty one has the first reason of
+#: Bytes of header lines that are broadcast; more of them meet their lines in a shuffle.
+HEADER_BYTES = 32_000_000
+
+
+def parse_chain_lines(lines: DataFrame, line_id: str = "line_id", file_name: str = "file_name", line_no: str = "line_no", line: str = "line", header_bytes: int = HEADER_BYTES) -> DataFrame:
+    """Every data record once: line_id, file_name, line_no, the fields of a record, reason, line.
+
+    A valid record has reason null and all its fields; a faulty one has the first reason of
     REASONS that holds and the fields that could still be read. Header lines (line_no 1) and
     blank or null lines give no row. The header of a file is the one with the smallest
     line_id where several were delivered; a file without one has no known number of columns,
     so its lines are `columns`. Repeated lines are each parsed; extra columns are not read;
     an empty table gives no row; a line may be as long as memory allows.
 
-    Each line of the table is one assembled record (see `assemble` for raw text). The lines
-    meet their header in one join on the file name, in which adaptive execution splits a
-    file that holds much of the rows; each is parsed by a strict csv reader inside the
-    partition, its structural exception caught before any typed field is built.
+    The headers, a row a file, are stored and measured: up to `header_bytes` they are broadcast
+    and no line is moved, beyond it lines meet their header in a shuffle, in which adaptive
+    execution splits a file that holds much of the rows. Inside the partition a row's text is
+    assembled to records (`assemble`; a row with no line end inside is one record), each read
+    by a strict csv reader, its structural exception caught before any typed field is built.
     """
     read = lines.select(F.col(line_id).alias("line_id"), F.col(file_name).alias("file_name"), F.col(line_no).alias("line_no"), F.col(line).alias("line"))
-    headers = read.filter(F.col("line_no") == 1).groupBy("file_name").agg(F.min_by("line", "line_id").alias("header"))
+    headers = cut(read.filter(F.col("line_no") == 1).groupBy("file_name").agg(F.min_by("line", "line_id").alias("header")))
+    size = headers.agg(F.coalesce(F.sum(F.length("file_name") + F.length("header") + 32), F.lit(0))).first()[0]
     body = read.filter((F.coalesce(F.col("line_no"), F.lit(0)) != 1) & F.col("line").isNotNull())
-    joined = body.join(headers, body["file_name"].eqNullSafe(headers["file_name"]), "left").select(body["line_id"], body["file_name"], body["line_no"], "line", "header")
-    schema = T.StructType(
-        [lines.schema[line_id], lines.schema[file_name], lines.schema[line_no]]
-        + [T.StructField(c, T.StringType()) for c in RECORD_FIELDS]
-        + [T.StructField("counts", T.DoubleType()), T.StructField("reason", T.StringType()), T.StructField("line", T.StringType())]
-    )
-    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(["line_id", "file_name", "line_no", *[f.name for f in schema[3:]]], schema, strict=True)])
+    few = F.broadcast(headers) if size <= header_bytes else headers
+    joined = body.join(few, body["file_name"].eqNullSafe(few["file_name"]), "left").select(body["line_id"], body["file_name"], body["line_no"], "line", "header")
+    schema = T.StructType([*joined.schema[:3], *_PARSED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
         layouts: dict[str | None, Layout] = {}
         for batch in batches:
-            rows, out = [], {c: [] for c in (*RECORD_FIELDS, "counts", "reason")}
+            rows: list[int] = []
+            out: dict[str, list] = {c: [] for c in (*RECORD_FIELDS, "counts", "reason", "line")}
             for k, (text, header) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 text = strip_line(text)
-                if not text.strip():
-                    continue
                 layout = layouts.get(header) or layouts.setdefault(header, Layout(header))
-                reason, record = layout.record(text)
-                rows.append(k)
-                for c in out:
-                    out[c].append(record.get(c))
-                out["reason"][-1] = reason
+                rows += [k] * parse_records(text.split("\n"), layout, out)
             taken = batch.take(pa.array(rows, pa.int32()))
-            columns = [taken.column(0), taken.column(1), taken.column(2)]
-            columns += [pa.array(out[c], pa.string()) for c in RECORD_FIELDS] + [pa.array(out["counts"], pa.float64()), pa.array(out["reason"], pa.string()), taken.column(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays([*taken.columns[:3], *_record_columns(out)], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
+def read_chain_text(spark: SparkSession, path: str) -> DataFrame:
+    """The records of delivered chain files: file_name, record_no, the fields of a record, reason, line.
+
+    Raw text, whose quoted fields may hold line ends: the first line of each file is its header,
+    the others are assembled to records and parsed as in `parse_chain_lines`. A file is read
+    by one task, files are spread over tasks. Empty files give no row.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_name"), "value")
+    schema = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("record_no", T.IntegerType()), *_PARSED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                header, *lines = strip_line(text).split("\n")
+                out: dict[str, list] = {c: [] for c in (*RECORD_FIELDS, "counts", "reason", "line")}
+                n = parse_records((x.removesuffix("\r") for x in lines), Layout(header), out)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(1, n + 1), pa.int32()), *_record_columns(out)], names=schema.names)
+
+    return files.mapInArrow(run, schema)
+
+
 def faulty_lines(parsed: DataFrame) -> DataFrame:
     """line_id and reason of each line that is no record."""
     return parsed.filter(F.col("reason").isNotNull()).select("line_id", "reason")
@@ -153,18 +272,3 @@ def loaded_lines(parsed: DataFrame) -> DataFrame:
     """The typed records of the valid lines; a missing count is 1."""
     return parsed.filter(F.col("reason").isNull()).select("line_id", "file_name", *RECORD_FIELDS, F.coalesce("counts", F.lit(1.0)).alias("counts"))
 
-
-def assemble(texts: Iterator[str]) -> Iterator[str]:
-    """Physical lines to records: a line is joined with the next while a quote it opened is open.
-
-    For readers of raw text, where a quoted field may hold line ends. A quote still open at
-    the end of the text gives back the lines one by one, so that one broken line does not
-    swallow the rest of its file.
-    """
-    held: list[str] = []
-    for text in texts:
-        held.append(text)
-        if sum(x.count('"') for x in held) % 2 == 0:
-            yield "\n".join(held)
-            held = []
-    yield from held
