@@ -1,4 +1,4 @@
-"""Scalar functions as Column builders: everything here stays inside whole-stage code generation."""
+"""Scalar functions as Column builders: everything here stays in the JVM."""
 
 from __future__ import annotations
 
@@ -68,6 +68,7 @@ def well_id(n: Column, columns: int = 12) -> Column:
     return F.concat(F.char(F.lit(65) + F.floor(n / columns).cast("int")), (n % columns + 1).cast("string"))
 
 
+# Fixed value: how sequencing machines name their FASTQ files.
 FASTQ_NAME = r"^(.+?)_S(\d+)_(L\d{3})_([IR][12])_001\.fastq(?:\.gz)?$"
 
 
@@ -82,11 +83,6 @@ def neg_log10(p: str | Column) -> Column:
     return F.when(col(p) > 0, -F.log10(col(p))).otherwise(0.0)
 
 
-def round_away(x: str | Column, places: int) -> Column:
-    """Half away from zero."""
-    return F.round(col(x), places)
-
-
 # --- receptor sequences -------------------------------------------------------
 
 
@@ -184,15 +180,27 @@ def fisher(a: Column, n_query: Column, c: Column, n_reference: Column, two_sided
 
     One-sided: at least a hits. Two-sided: all tables no likelier than the one seen, up to
     one part in 10**12. Null where a count exceeds its total.
+
+    Terms are added up to ten standard deviations and forty counts beyond the mode (or beyond
+    a, where that is further): what lies behind is below the last place of a double. A row
+    thus takes about its spread in terms, not its totals.
     """
     a, n_query, c, n_reference = (x.cast("bigint") for x in (a, n_query, c, n_reference))
     total, good = n_query + n_reference, a + c
     least = F.greatest(F.lit(0).cast("bigint"), good + n_query - total)
     most = F.least(n_query, good)
     chance = lambda k: hypergeometric(k, n_query, good, total)
+    mode = (n_query + 1).cast("double") * (good + 1) / (total + 2)
+    share = good.cast("double") / total
+    spread = F.ceil(F.sqrt(n_query * share * (1.0 - share)) * 10.0).cast("bigint") + 40
+    far = F.greatest(a, F.ceil(mode).cast("bigint")) + spread
     if two_sided:
         seen = chance(a) * (1.0 + 1e-12)
-        out = F.aggregate(F.sequence(least, most), F.lit(0.0), lambda s, k: s + F.when(chance(k) <= seen, chance(k)).otherwise(0.0))
+        near = F.least(a, F.floor(mode).cast("bigint")) - spread
+        # The other side holds tables as unlikely as far from the mode as a is, and beyond.
+        reach = F.abs(a - mode).cast("bigint") + spread
+        places = F.sequence(F.greatest(least, F.least(near, mode.cast("bigint") - reach)), F.least(most, F.greatest(far, mode.cast("bigint") + reach)))
+        out = F.aggregate(places, F.lit(0.0), lambda s, k: s + F.when(chance(k) <= seen, chance(k)).otherwise(0.0))
     else:
         # From one k to the next by the ratio of their chances: the logarithms are taken once.
         first = chance(a)
@@ -202,11 +210,11 @@ def fisher(a: Column, n_query: Column, c: Column, n_reference: Column, two_sided
             p = held["p"] * ((good - k + 1) * (n_query - k + 1)).cast("double") / (k.cast("double") * (spare + k))
             return F.struct((held["s"] + p).alias("s"), p.alias("p"))
 
-        rest = F.when(a < most, F.sequence(a + 1, most)).otherwise(F.array().cast("array<bigint>"))
+        # So far below the mode that what is missing of 1 is lost in rounding: all there is.
+        below = a.cast("double") < mode - spread.cast("double") - 1
+        rest = F.when((a < most) & ~below, F.sequence(a + 1, F.least(most, far))).otherwise(F.array().cast("array<bigint>"))
         tail = F.aggregate(rest, F.struct(first.alias("s"), first.alias("p")), add, lambda held: held["s"])
-        # Far below the mode the first chance vanishes, and the tail is all there is.
-        below = a.cast("double") < (n_query + 1).cast("double") * (good + 1) / (total + 2) - 1
-        out = F.when((first < 1e-290) & below, 1.0).otherwise(tail)
+        out = F.when(below, 1.0).otherwise(tail)
     return F.when((a <= n_query) & (c <= n_reference), F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))
 
 
