@@ -105,40 +105,41 @@ def k3_matrix(one: np.ndarray, many: np.ndarray, most: int = 30) -> np.ndarray:
     return total
 
 
-def k3_cross(some: np.ndarray, many: np.ndarray, most: int = 30, cells: int = 2_000_000) -> np.ndarray:
-    """`k3_matrix` of every row of `some`, all of one length, in slices of about `cells` numbers."""
+def k3_layers(codes: np.ndarray, most: int = 30) -> np.ndarray:
+    """Per row, and per length 1 to `most` of the runs, that length's part of the kernel of the row with itself."""
+    k1 = kernel_k1().astype(np.float64)
+    n = codes.shape[1]
+    out = np.zeros((len(codes), max(1, min(n, most))))
+    for first in range(0, len(codes), 4096):
+        own = codes[first : first + 4096]
+        layer = k1[own[:, :, None], own[:, None, :]]
+        run = layer
+        for k in range(1, out.shape[1] + 1):
+            out[first : first + 4096, k - 1] = run.sum(axis=(1, 2))
+            if k < out.shape[1]:
+                run = run[:, :-1, :-1] * layer[:, k:, k:]
+    return out
+
+
+def k3_pairs(some: np.ndarray, many: np.ndarray, most: int = 30, cells: int = 2_000_000) -> np.ndarray:
+    """The similarity kernel of the k-th row of `some` with the k-th of `many`, each set of one length."""
     n, m = some.shape[1], many.shape[1]
-    if n > most and m > most:
-        return np.stack([k3_matrix(a, many, most) for a in some]) if len(some) else np.zeros((0, len(many)))
     k1 = kernel_k1().astype(np.float64)
-    out = np.zeros((len(some), len(many)))
-    step = max(1, cells // max(1, len(many) * m))
+    out = np.zeros(len(some))
+    if n > most and m > most:
+        return np.array([k3_matrix(a, b[None, :], most)[0] for a, b in zip(some, many, strict=True)])
+    step = max(1, cells // max(1, m))
     for first in range(0, len(some), step):
-        own = some[first : first + step]
-        before = np.zeros((len(own), len(many), m))
+        own, other = some[first : first + step], many[first : first + step]
+        before = np.zeros((len(own), m))
         for i in range(n):
-            now = k1[own[:, i]][:, many]
-            now[:, :, 1:] *= 1 + before[:, :, :-1]
-            out[first : first + step] += now.sum(axis=2)
+            now = k1[own[:, i][:, None], other]
+            now[:, 1:] *= 1 + before[:, :-1]
+            out[first : first + step] += now.sum(axis=1)
             before = now
     return out
 
 
-def k3_selves(codes: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself."""
-    n = codes.shape[1]
-    if n > 30:
-        return np.array([k3_matrix(c, c[None, :])[0] for c in codes])
-    k1 = kernel_k1().astype(np.float64)
-    total, before = np.zeros(len(codes)), np.zeros(codes.shape)
-    for i in range(n):
-        now = k1[codes[:, i][:, None], codes]
-        now[:, 1:] *= 1 + before[:, :-1]
-        total += now.sum(axis=1)
-        before = now
-    return total
-
-
 def global_scores(one: np.ndarray, many: np.ndarray, opening: int = 7, extending: int = 1) -> np.ndarray:
     """Global affine alignment scores of one encoded sequence against many of one length.
 

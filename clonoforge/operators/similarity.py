@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonoforge.functions.columns import is_residues, trim_flanks
-from clonoforge.functions.kernels import k3_cross, k3_selves
-from clonoforge.functions.matrices import encode
+from clonoforge.functions.columns import RESIDUES, is_residues, trim_flanks
+from clonoforge.functions.kernels import k3_layers, k3_pairs
+from clonoforge.functions.matrices import encode, kernel_k1
+from clonoforge.session import cut
 
 THRESHOLD = 0.97
-#: Database sequences of one block; a task compares a batch of inputs with one block.
-BLOCK, BATCH = 4096, 1024
+#: Database sequences that are broadcast at once.
+BLOCK = 200_000
 
 
 def usable(df: DataFrame, column: str, trimmed: bool = True, strict: bool = False) -> DataFrame:
@@ -30,8 +31,6 @@ def usable(df: DataFrame, column: str, trimmed: bool = True, strict: bool = Fals
     return out.filter(is_residues("sequence"))
 
 
-
-
 def _by_length(sequences: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     groups = defaultdict(list)
     for s in sequences:
@@ -39,43 +38,75 @@ def _by_length(sequences: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.array(own, object), encode(own, n)) for n, own in groups.items()]
 
 
+class Side:
+    """Sequences of one length with what bounds their scores.
+
+    The kernel is a sum over run lengths k of kernels that are inner products each, so by
+    Cauchy and Schwarz k3(a, b) <= k3_1(a, b) + sum over k > 1 of sqrt(k3_k(a, a) k3_k(b, b)), and
+    k3_1 depends only on how often each residue occurs. Both parts are products of
+    small matrices: the bound of all pairs costs a multiplication, the kernel of few of them is needed.
+    """
+
+    def __init__(self, names: np.ndarray, codes: np.ndarray):
+        self.names, self.codes = names, codes
+        layers = k3_layers(codes)
+        self.norms = np.sqrt(layers.sum(axis=1))
+        counts = np.stack([(codes == r).sum(axis=1) for r in range(len(RESIDUES))], axis=1).astype(float)
+        self.left = np.hstack([counts @ kernel_k1().astype(float), np.sqrt(layers[:, 1:])]) / self.norms[:, None]
+        self.right = np.hstack([counts, np.sqrt(layers[:, 1:])]) / self.norms[:, None]
+
+    def matches(self, other: Side, threshold: float, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(own places, other's places, scores) above the threshold, in slices of about `cells` pairs."""
+        step = max(1, cells // max(1, len(other.names)))
+        width = min(self.left.shape[1], other.right.shape[1])  # no run is longer than the shorter sequence
+        mine, theirs = self.left[:, :width], other.right[:, :width].T
+        for first in range(0, len(self.names), step):
+            x, y = np.nonzero(mine[first : first + step] @ theirs > threshold - 1e-9)
+            x += first
+            for begin in range(0, len(x), 100_000):
+                i, j = x[begin : begin + 100_000], y[begin : begin + 100_000]
+                score = k3_pairs(self.codes[i], other.codes[j]) / (self.norms[i] * other.norms[j])
+                above = score > threshold
+                yield i[above], j[above], score[above]
+
+
 def similar_pairs(inputs: DataFrame, database: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(sequence, match, score): distinct input and database sequences scoring above the threshold.
 
     score = k3(a, b) / sqrt(k3(a, a) k3(b, b)), strictly above the threshold. Both sides
-    (column sequence) are made distinct; the database is dealt into blocks of bounded size,
-    every block meets every batch of inputs once, in numpy; only matches leave a task. The
-    inputs are a stated set searched in blocks, never joined row by row.
+    (column sequence) are made distinct. The database goes to the workers in blocks of at most
+    about `block` sequences, one scan of the inputs each, stored where there are several; the
+    inputs stay where they are. In a task most pairs fall to a bound of their score (`Side`)
+    and only the rest are compared; only matches leave it.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold lies between 0 and 1")
     spark = inputs.sparkSession
     left = inputs.select("sequence").distinct()
-    right = database.select("sequence").distinct()
-    n = right.count()
-    blocks = max(1, -(-n // block))
-    dealt = right.groupBy(F.pmod(F.xxhash64("sequence"), F.lit(blocks)).alias("block")).agg(F.collect_list("sequence").alias("members"))
-    parts = max(spark.sparkContext.defaultParallelism, -(-left.count() // BATCH))
-    batches = left.groupBy(F.pmod(F.xxhash64("sequence"), F.lit(parts)).alias("batch")).agg(F.collect_list("sequence").alias("ours"))
-    work = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").select("ours", "members").repartition(F.xxhash64("ours", "members"))
+    right = cut(database.select("sequence").distinct())
+    blocks = max(1, -(-right.count() // block))
     schema = T.StructType([T.StructField("sequence", T.StringType()), T.StructField("match", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            out: tuple[list, list, list] = ([], [], [])
-            for ours, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                coded = [(names, codes, k3_selves(codes)) for names, codes in _by_length(members)]
-                for mine, rows in _by_length(ours):
-                    selves = k3_selves(rows)
-                    for names, codes, others in coded:
-                        score = k3_cross(rows, codes) / np.sqrt(selves[:, None] * others[None, :])
-                        x, y = np.nonzero(score > threshold)
-                        out[0].extend(mine[x])
-                        out[1].extend(names[y])
-                        out[2].extend(score[x, y])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=schema.names)
-
-    return work.mapInArrow(run, schema)
+    left = cut(left) if blocks > 1 else left
+    out = None
+    for k in range(blocks):
+        members = [r.sequence for r in right.filter(F.pmod(F.xxhash64("sequence"), F.lit(blocks)) == k).collect()]
+        shared = spark.sparkContext.broadcast(members)
+
+        def run(frames: Iterator[pa.RecordBatch], held=shared) -> Iterator[pa.RecordBatch]:
+            sides = [Side(names, codes) for names, codes in _by_length(held.value)]
+            for batch in frames:
+                for names, codes in _by_length(batch.column(0).to_pylist()):
+                    own = Side(names, codes)
+                    for other in sides:
+                        for i, j, score in own.matches(other, threshold):
+                            yield pa.RecordBatch.from_arrays([pa.array(names[i], pa.string()), pa.array(other.names[j], pa.string()), pa.array(score, pa.float64())], names=schema.names)
+
+        found = left.mapInArrow(run, schema)
+        if blocks > 1:
+            found = cut(found)
+            shared.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 ANNOTATIONS = ("receptor_group", "epitope", "antigen", "organism")

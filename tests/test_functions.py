@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clonoforge.functions import columns as C
-from clonoforge.functions.kernels import bounded, cdr3_distance, cdr3_distances, germline_distance, global_scores, k3_cross, k3_matrix, k3_selves, seed_of, states
+from clonoforge.functions.kernels import bounded, cdr3_distance, cdr3_distances, germline_distance, global_scores, k3_layers, k3_matrix, k3_pairs, seed_of, states
 from clonoforge.functions.matrices import blosum62, encode, kernel_k1, mismatch_distances
 
 
@@ -101,8 +101,9 @@ def test_kernel():
     some = ["".join(rng.choice(list(C.RESIDUES), 9)) for _ in range(3)]
     many = ["".join(rng.choice(list(C.RESIDUES), 12)) for _ in range(4)]
     want = np.array([[plain_k3(a, b) for b in many] for a in some])
-    assert np.allclose(k3_cross(encode(some, 9), encode(many, 12), cells=20), want)
-    assert np.allclose(k3_selves(encode(many, 12)), [plain_k3(b, b) for b in many])
+    x, y = np.repeat(np.arange(3), 4), np.tile(np.arange(4), 3)
+    assert np.allclose(k3_pairs(encode(some, 9)[x], encode(many, 12)[y], cells=20), want.ravel())
+    assert np.allclose(k3_layers(encode(many, 12)).sum(axis=1), [plain_k3(b, b) for b in many])
     long = ["".join(rng.choice(list(C.RESIDUES), 33)) for _ in range(2)]
     assert np.allclose(k3_matrix(encode(long, 33)[0], encode(long, 33)), [plain_k3(long[0], x) for x in long])
 
