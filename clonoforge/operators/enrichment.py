@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonoforge.functions.columns import RESIDUES, fisher, fold_change, is_cdr3, kmers, matches_pattern, motif_region, wildcard_tags
@@ -260,6 +260,20 @@ def pattern_counts(unique: DataFrame, pattern: str) -> DataFrame:
 
 
 def number_clusters(clusters: DataFrame) -> DataFrame:
-    """clusters with index 1, 2, ... by p, pattern, kind and id: one global window, over clusters only."""
+    """clusters with index 1, 2, ... by p, pattern, kind and id.
+
+    Range partitions in that order are numbered each on its own and stored; only how many
+    rows each partition has comes to the driver, and is added up to where it begins.
+    """
     rank = F.when(F.col("kind") == "local", 0).when(F.col("kind") == "global", 1).otherwise(2)
-    return clusters.withColumn("index", F.row_number().over(Window.orderBy("p", "pattern", rank, "cid")))
+    order = [F.col("p"), F.col("pattern"), rank, F.col("cid")]
+    ranged = clusters.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    begins, total = {}, 0
+    for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").toLocalIterator():
+        begins[r["_part"]] = total
+        total += r["n"]
+    if not begins:
+        return placed.drop("_part", "_place").withColumn("index", F.lit(0).cast("bigint"))
+    first = F.element_at(F.create_map(*[F.lit(x) for kv in begins.items() for x in kv]), F.col("_part"))
+    return placed.withColumn("index", (first + F.col("_place") + 1).cast("bigint")).drop("_part", "_place")

@@ -201,6 +201,25 @@ SELECT a, b, dist::INTEGER AS d FROM (
 """
 
 
+def _unequal_sql(sequences: str, cutoff: int) -> str:
+    """(a, b, d) of all sequences of two lengths, one gap block in the longer at its best place; a is the shorter."""
+    part = lambda begin, end, shift: f"coalesce(list_sum(list_transform(range({begin}, {end}), lambda i: m.d[x.c[i] * 20 + y.c[i + {shift}] + 1])), 0)"
+    return f"""
+SELECT x.s AS a, y.s AS b, list_min(list_transform(range(x.first_place, x.last_place + 1), lambda p: {part(4, 'p + 1', 0)} + {part('greatest(p + 1, 1)', 'x.n - 1', '(y.n - x.n)')})) + (y.n - x.n) * 4 AS dist
+FROM (SELECT *, CASE WHEN n >= 10 THEN 5 ELSE 5 - (11 - n) // 2 END AS first_place, CASE WHEN n >= 10 THEN n - 5 ELSE n - 5 + (11 - n) // 2 END AS last_place FROM ({sequences}) q) x
+JOIN ({sequences}) y ON y.n > x.n AND (y.n - x.n) * 4 <= {cutoff}, m
+"""
+
+
+_CODED_SQL = "SELECT s, length(s) AS n, list_transform(range(1, length(s) + 1), lambda i: instr('{r}', substr(s, i::INTEGER, 1)) - 1) AS c FROM ({x}) x"
+ALL_TCRDIST_SQL = f"""
+WITH m AS (SELECT {_D_LIST} AS d)
+SELECT a, b, dist::INTEGER AS d FROM (
+  SELECT a, b, d AS dist FROM ({TCRDIST_SQL}) e
+  UNION ALL SELECT least(a, b), greatest(a, b), dist FROM ({_unequal_sql(_CODED_SQL.format(r=C.RESIDUES, x=I.SAMPLE_SQL), 8)}) u WHERE dist <= 8) t
+"""
+
+
 def germline_distance(spark: SparkSession, d: str) -> DataFrame:
     return D.germline_table(I.germline(spark, d))
 
@@ -339,19 +358,8 @@ def v_score_mc(spark: SparkSession, d: str) -> DataFrame:
 def expansion_mc(spark: SparkSession, d: str) -> DataFrame:
     """Expansion scores of clusters against the repertoire's clone sizes, given as counts per size."""
     rows = table(spark, d, "cluster_output").select(F.upper(F.trim("tcrb")).alias("beta"), F.col("freq").alias("counts")).filter("beta IS NOT NULL")
-    counts = S.repertoire_counts(rows)
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy("n").limit(100_001).collect()
-    if len(sizes) > 100_000:
-        raise ValueError("more than 100,000 different clone sizes")
-    values, times = np.log1p([r.n for r in sizes]), np.array([r.k for r in sizes])
-    shared = spark.sparkContext.broadcast((values, times))
-    own = _clusters(spark, d).select("cluster", "beta").distinct().join(counts, "beta").groupBy("cluster").agg(F.sort_array(F.collect_list("n")).alias("ns"))
-
-    @F.pandas_udf("double")
-    def score(cluster: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([S.expansion_score(list(x), shared.value[0], 1000, f"expansion:{c}", shared.value[1]) for c, x in zip(cluster, ns, strict=True)])
-
-    return own.select("cluster", score("cluster", "ns").alias("score"))
+    members = _clusters(spark, d).select("cluster", F.col("cluster").alias("name"), F.col("beta").alias("s")).distinct()
+    return S.expansion_scores(members, cut(S.repertoire_counts(rows)), "cluster", "name").select("cluster", F.col("expansion_score").alias("score"))
 
 
 def gliph1_mc(spark: SparkSession, d: str) -> DataFrame:
@@ -410,7 +418,7 @@ def group_alignment(spark: SparkSession, d: str, replicates: int = 1000) -> Data
     groups = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("c") == "a", F.col("s")))).alias("alphas"), F.array_sort(F.collect_list(F.when(F.col("c") == "b", F.col("s")))).alias("betas"))
     pool: list[str] = []
     if replicates:
-        pool = [r.s for r in A.unique_alphas(rows.withColumn("tcra", F.upper("tcra"))).filter(C.is_residues("s")).orderBy("s").collect()]
+        pool = A.pool_of(A.unique_alphas(rows.withColumn("tcra", F.upper("tcra"))).filter(C.is_residues("s")))
     return A.score_groups(groups, pool, replicates, keys)
 
 

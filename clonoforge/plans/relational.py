@@ -249,12 +249,12 @@ def repertoire(spark: SparkSession, d: str) -> DataFrame:
     from clonoforge.operators.scoring import log_background, repertoire_counts
 
     counts = repertoire_counts(I.chains(spark, d))
-    return counts.join(log_background(counts), "beta").select("beta", "n", F.round("log_n", 9).alias("log_n"))
+    return counts.join(log_background(counts), "beta").select("beta", F.round("n", 6).alias("n"), F.round("log_n", 9).alias("log_n"))
 
 
 REPERTOIRE_SQL = f"""
-SELECT beta, n, round(ln(1.0 + n), 9)::DOUBLE AS log_n FROM (
-  SELECT beta, sum(greatest(round(counts)::BIGINT, 1))::BIGINT AS n FROM ({I.CHAINS_SQL}) c GROUP BY beta) t
+SELECT beta, round(n, 6)::DOUBLE AS n, round(ln(1.0 + n), 9)::DOUBLE AS log_n FROM (
+  SELECT beta, sum(greatest(coalesce(counts, 1.0::DOUBLE), 1.0::DOUBLE)) AS n FROM ({I.CHAINS_SQL}) c GROUP BY beta) t
 """
 
 QUERIES = {
