@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import re
 import sys
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,11 +150,30 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 # --- sequencing files ---------------------------------------------------------------
 
 
+def _md5_of(path: str, piece: int = 8 << 20) -> str:
+    """The MD5 of a file, read in pieces, whatever its size."""
+    held = hashlib.md5(usedforsecurity=False)
+    with pafs.FileSystem.from_uri(path)[0].open_input_stream(pafs.FileSystem.from_uri(path)[1], compression=None) as stream:
+        while block := stream.read(piece):
+            held.update(block)
+    return held.hexdigest()
+
+
 def scan_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_name, md5) of all .fastq and .fastq.gz files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.withColumn("file_name", F.substring_index("path", "/", -1))
-    return named.filter(F.lower("file_name").rlike(r"\.fastq(\.gz)?$")).select("path", "file_name", F.md5("content").alias("md5"))
+    """(path, file_name, md5) of all .fastq and .fastq.gz files below a folder.
+
+    Files are listed by name first, no content is loaded into a row; each is hashed in pieces by
+    the task that has its name, through the file system its path names.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    named = files.withColumn("file_name", F.substring_index("path", "/", -1)).filter(F.lower("file_name").rlike(r"\.fastq(\.gz)?$"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uris = [x if "://" in x else re.sub("^file:/+", "file:///", x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_md5_of, uris), pa.string())], names=["path", "file_name", "md5"])
+
+    return named.mapInArrow(run, "path string, file_name string, md5 string")
 
 
 def parse_fastq(files: DataFrame, name: str = "file_name") -> DataFrame:

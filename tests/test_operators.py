@@ -10,41 +10,42 @@ from clonoforge.operators.distances import distance_pairs, edit_cutoff, hamming_
 from clonoforge.sources import chains, files, plates
 from tests.test_functions import plain_distance
 
-CONTIGS = """U91846-Inf ACACTGATCCTTGCCA-1 TRB TRBV7-2 TRBJ1-4 CASSLGLWEKLFF
-U91846-Inf ACACTGATCCTTGCCA-1 TRA TRAV1-2 TRAJ47 CAVRDGNKLVF
-U91846-Inf AGATCTGGTGCAGACA-1 TRB TRBV6-5 TRBJ1-3 CASRRGNTIYF
-U91846-Inf AGCATACCACACAGAG-1 TRA TRAV10 TRAJ36 CVVSSQTGANNLFF
-U91846-Inf AGCATACCACACAGAG-1 TRB TRBV15 TRBJ2-1 CATSRDRGRNNEQFF
-U90979-Peptide AAACCTGTCATCGCTC-1 TRB TRBV27 TRBJ2-7 CASSLLGQGWDEQYF
-U90979-Peptide AAACCTGTCATCGCTC-1 TRA TRAV12-3 TRAJ36 CAMSHQTGANNLFF
-U90979-Peptide AAGGCAGTCGGTGTCG-1 TRB TRBV5-4 TRBJ2-3 CASSLMGGASDTQYF
-U90979-Peptide AAGGCAGTCGGTGTCG-1 TRB TRBV20-1 TRBJ1-1 CSALILNAEAFF
-U90979-Peptide AAGGCAGTCGGTGTCG-1 TRA TRAV41 TRAJ47 CAVNRNKLVF
-U90979-Peptide AAGGCAGTCGGTGTCG-1 TRA TRAV8-6 TRAJ56 CAVSGDTGANSKLTF"""
+# Invented cells: c1 has one chain of each kind, c2 two alphas and two betas, c3 no alpha, c4 no beta, c5 the chains of c1.
+CONTIGS = """T1-Day0 c1 TRB TRBV3-1 TRBJ1-1 CASSAAQYF
+T1-Day0 c1 TRA TRAV4 TRAJ10 CAVAAKLTF
+T1-Day0 c2 TRB TRBV5 TRBJ2-2 CASSPPQYF
+T1-Day0 c2 TRB TRBV6-1 TRBJ2-3 CASSRRQYF
+T1-Day0 c2 TRA TRAV7 TRAJ20 CAVPPKLTF
+T1-Day0 c2 TRA TRAV8-2 TRAJ21 CAVRRKLTF
+T1-Day0 c3 TRB TRBV9 TRBJ1-5 CASSWWQYF
+T1-Day0 c4 TRA TRAV9 TRAJ30 CAVWWKLTF
+T1-Day0 c5 TRB TRBV3-1 TRBJ1-1 CASSAAQYF
+T1-Day0 c5 TRA TRAV4 TRAJ10 CAVAAKLTF
+T2-Day9 c1 TRB TRBV3-1 TRBJ1-1 CASSAAQYF"""
 
 
 def test_pairing(spark):
     df = spark.createDataFrame([tuple(x.split()) for x in CONTIGS.splitlines()], "sample string, barcode string, chain string, v_gene string, j_gene string, cdr3 string")
     rows = cells.paired_clonotypes(df, keep_alpha=True).collect()
-    assert len(rows) == 8 and all(r["count"] == 1 for r in rows)
-    assert [r.CDR3a for r in rows if r.CDR3b == "CASRRGNTIYF"] == [None]
-    assert sum(r["sample"] == "U90979:Peptide" for r in rows) == 5
+    got = {(r["sample"], r.CDR3b, r.CDR3a): r["count"] for r in rows}
+    pairs = {("T1:Day0", f"CASS{b}QYF", f"CAV{a}KLTF"): 1 for b in ("PP", "RR") for a in ("PP", "RR")}
+    assert got == pairs | {("T1:Day0", "CASSAAQYF", "CAVAAKLTF"): 2, ("T1:Day0", "CASSWWQYF", None): 1, ("T2:Day9", "CASSAAQYF", None): 1}
 
 
 def test_splitting(spark):
-    rows = [("CAVVPPNQAGTALIF;CVVNGGRLMF", "CSARSSGTGSSYNSPLHF", "TRAV2;TRAV12-1", "TRAJ15;TRAJ31", "TRBV20-1", "TRBJ1-6", "s1"), ("CAVNPVGSYIPTF", "CSASSAGGTDTQYF", "TRAV8-1", "TRAJ6", "TRBV20-1", "TRBJ2-3", "s2")]
+    rows = [("CAVA;CAVG;CAVT", "CASSA", "TRAV1;TRAV2;TRAV3", "TRAJ1;TRAJ2;TRAJ3", "TRBV1", "TRBJ1", "one"), ("CAVS", "CASSG", "TRAV9", "TRAJ9", "TRBV2", "TRBJ2", "two")]
     df = spark.createDataFrame(rows, "CDR3a string, CDR3b string, TRAV string, TRAJ string, TRBV string, TRBJ string, sample string")
     out = cells.split_chains(df, "alpha").collect()
-    assert [r.CDR3a for r in out] == ["CAVVPPNQAGTALIF", "CVVNGGRLMF", "CAVNPVGSYIPTF"] and [r.TRAJ for r in out] == ["TRAJ15", "TRAJ31", "TRAJ6"]
-    ragged = df.withColumn("TRAV", F.lit("A;B"))
+    assert [(r.CDR3a, r.TRAV, r.TRAJ, r["sample"]) for r in out] == [("CAVA", "TRAV1", "TRAJ1", "one"), ("CAVG", "TRAV2", "TRAJ2", "one"), ("CAVT", "TRAV3", "TRAJ3", "one"), ("CAVS", "TRAV9", "TRAJ9", "two")]
+    ragged = df.withColumn("TRAV", F.lit("A;B;C"))
     with pytest.raises(Exception, match="differ in length"):
         cells.split_chains(ragged, "alpha").collect()
-    assert cells.split_chains(ragged, "alpha", ragged="drop").count() == 2 and cells.ragged_rows(ragged, "alpha").count() == 1
+    assert cells.split_chains(ragged, "alpha", ragged="drop").count() == 3 and cells.ragged_rows(ragged, "alpha").count() == 1
     for columns in (["CDR3a", "CDR3b"], ["CDR3a", "CDR3b", "TRAV", "TRAJ", "TRBV", "TRBJ", "CTgeneA", "CTgeneB"], ["CDR3a", "CTgeneA", "CTgeneB"]):
         with pytest.raises(ValueError):
             cells.gene_style(columns)
-    ids = spark.createDataFrame([("subj1:cond1", "x")], "`subject:condition` string, other string")
-    assert cells.split_sample_id(ids).first().asDict() == {"other": "x", "subject": "subj1", "condition": "cond1"}
+    ids = spark.createDataFrame([("me:day 1", "x")], "`subject:condition` string, other string")
+    assert cells.split_sample_id(ids).first().asDict() == {"other": "x", "subject": "me", "condition": "day 1"}
 
 
 def test_chain_validation(spark):
@@ -320,3 +321,100 @@ def test_expansion_background_as_histogram():
         assert scoring.expansion_score(own, values, 300, f"h{k}", times) == scoring.expansion_score(own, np.repeat(values, times), 300, f"h{k}")
     # Nearly all of a large repertoire's clones have count 1; a list of its different sizes would give about 1.
     assert scoring.expansion_score([5, 5], values, 1000, "large", np.array([40_000_000, 10, 5, 1])) == 0.001
+
+
+def test_components_by_contraction(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1300)] + [(5000, k) for k in range(4000, 4300)] + [(None, 3), (7, 7)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r.v: r.component for r in graph.components(spark.createDataFrame(edges, "i int, j int")).collect()}
+    assert got == {v: root(v) for v in parent}
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"c{k}", f"p{rng.integers(0, 9)}", ["local", "global", "single"][k % 3], float(rng.integers(0, 5)) / 5) for k in range(500)]
+    df = spark.createDataFrame(rows, "cid string, pattern string, kind string, p double").repartition(7)
+    got = [r.cid for r in enrichment.number_clusters(df).orderBy("index").collect()]
+    assert got == [c for c, *_ in sorted(rows, key=lambda r: (r[3], r[1], ["local", "global", "single"].index(r[2]), r[0]))]
+    assert [r["index"] for r in enrichment.number_clusters(df).orderBy("index").collect()] == list(range(1, 501))
+    assert enrichment.number_clusters(df.limit(0)).count() == 0
+
+
+def test_large_clusters_have_the_same_motif(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for c in range(6):
+        core = "".join(rng.choice(list("ADGHLPRST"), 6))
+        for _ in range(14):
+            own = list(core)
+            if rng.random() < 0.7:
+                own[rng.integers(0, 6)] = rng.choice(list("ADGHLPRST"))
+            rows.append((c, "CAS" + rng.choice(list("GAST")) + "".join(own) + "TQYF"))
+    rows += [(6, "".join(["CAS", *rng.choice(list("ADGHKLMPRSTVWY"), 9), "QYF"])) for _ in range(9)] + [(7, "CASSF"), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "cluster int, s string")
+    one, two = (sorted(map(tuple, motifs.cluster_motifs(df, "cluster", "s", small=n).collect())) for n in (10_000, 1))
+    assert one == two and [r for r in one if r[0] == 6][0][1] is None and sum(r[1] is not None for r in one) >= 7
+
+
+def test_patterns_of_very_many_shapes(spark):
+    text = "ADEGHIKLMNPQRSTVWY" * 4
+    sequence = "CAS" + text + "QYF"
+    patterns = sorted({text[3 : 3 + k][:w] + "%" + text[3 : 3 + k][w + 1 :] for k in range(20, 66) for w in range(k)} | {"no motif found", text[5:9], "WWW%"})
+    assert len({(len(p), p.find("%")) for p in patterns}) > 1000
+    one = spark.createDataFrame([(sequence,)], "s string")
+    other = spark.createDataFrame([("CASSLGQAYEQYF",)] * 9, "s string")
+    got = {r.pattern: r.p for r in pipeline.pattern_fisher(spark.createDataFrame([(p,) for p in patterns], "pattern string"), one, other).collect()}
+    assert {p for p, x in got.items() if x == pytest.approx(0.1)} == set(patterns) - {"no motif found", "WWW%"} and got["no motif found"] == got["WWW%"] == 1.0
+
+
+def test_similar_pairs_against_all_pairs(spark, monkeypatch):
+    from clonoforge.functions.kernels import k3_matrix
+    from clonoforge.functions.matrices import encode
+
+    rng = np.random.default_rng(9)
+    base = ["ASSLGQAYEQY", "ASSPDRGNTEAF", "SARDRTGNGYT", "A" * 33]
+    pool = sorted({"".join(c if rng.random() > 0.1 else rng.choice(list("ARNDQGILSTV")) for c in b)[rng.integers(0, 2) :] for b in base for _ in range(25)})
+    k3 = lambda a, b: k3_matrix(encode([a], len(a))[0], encode([b], len(b)))[0]
+    want = {(a, b) for a in pool for b in pool if k3(a, b) / math.sqrt(k3(a, a) * k3(b, b)) > 0.9}
+    df = spark.createDataFrame([(s,) for s in pool], "sequence string")
+    for block in (10_000, 30):
+        got = similarity.similar_pairs(df, df, 0.9, block).collect()
+        assert {(r.sequence, r.match) for r in got} == want and len(got) == len(want)
+    assert len(pool) < len(want) < len(pool) ** 2 / 2
+
+
+def test_samples_without_replacement():
+    drawn = alignment.samples_without_replacement(9, 6, 77, 400)
+    assert drawn.shape == (400, 6) and all(len(set(row)) == 6 and set(row) <= set(range(9)) for row in drawn.tolist())
+    assert abs(np.bincount(drawn.ravel(), minlength=9) - 400 * 6 / 9).max() < 60
+    assert (alignment.samples_without_replacement(9, 6, 77, 3) == drawn[:3]).all()
+
+
+def test_repertoire_counts_are_not_rounded(spark):
+    df = spark.createDataFrame([("A", 1.6), ("A", 0.2), ("A", None), ("B", 2.25)], "beta string, counts double")
+    assert {r.beta: r.n for r in scoring.repertoire_counts(df).collect()} == {"A": 3.6, "B": 2.25}
+
+
+def test_checkpoint_folder_of_a_cluster_must_be_named(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from clonoforge import session
+
+    spark = MagicMock()
+    spark.conf.get.return_value = None
+    spark.sparkContext.getConf.return_value.get.return_value = None
+    spark.sparkContext._jsc.sc.return_value.getCheckpointDir.return_value.isDefined.return_value = False
+    spark.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(spark)
