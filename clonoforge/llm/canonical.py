@@ -6,6 +6,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -110,15 +111,25 @@ class Rules:
         cut = slice(-self.prefix, None) if self.from_end else slice(self.prefix)
         places = [i for i, c in enumerate(head) if not self.is_petty(c)] if dear else []
         small = [i for i, c in enumerate(head) if self.is_petty(c)]
-        for few in range(self.edits + 1 if dear else 1):
-            for many in range(self.petty + 1):
-                if few > len(places) or many > len(small):
-                    continue
-                gone = (set(a + b) for a in combinations(places, few) for b in combinations(small, many))
-                yield few + many * self.petty_cost, {"".join(c for i, c in enumerate(head) if i not in out)[cut] for out in gone}
+        levels = sorted((few + many * self.petty_cost, few, many) for few in range(min(self.edits if dear else 0, len(places)) + 1) for many in range(min(self.petty, len(small)) + 1))
+        for least, few, many in levels:
+            out = set()
+            for a in combinations(places, few):
+                for b in combinations(small, many):
+                    key = head
+                    for i in sorted(a + b, reverse=True):
+                        key = key[:i] + key[i + 1 :]
+                    out.add(key[cut])
+            yield least, out
 
     def distance(self, word: str, spelling: str, most: float) -> float:
-        return weighted_distance(word, spelling, self.cost, most, self.edits + self.petty)
+        """weighted_distance of what is left without equal beginnings and ends."""
+        begin, a, b = 0, len(word), len(spelling)
+        while begin < a and begin < b and word[begin] == spelling[begin]:
+            begin += 1
+        while a > begin and b > begin and word[a - 1] == spelling[b - 1]:
+            a, b = a - 1, b - 1
+        return weighted_distance(word[begin:a], spelling[begin:b], self.cost, most, self.edits + self.petty)
 
 
 class Matcher:
@@ -135,7 +146,7 @@ class Matcher:
         self._index: dict[str, list[int]] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
+        return self.__dict__ | {"_index": None, "_exact": None}
 
     @property
     def names(self) -> list[str]:
@@ -148,6 +159,9 @@ class Matcher:
             for k, (spelling, name, _) in enumerate(self.entries):
                 for key in set().union(*(keys for _, keys in self.rules.keys(spelling, name != UNMATCHED))):
                     index.setdefault(key, []).append(k)
+            self._exact: dict[str, list[int]] = {}
+            for k, (spelling, _, _) in enumerate(self.entries):
+                self._exact.setdefault(spelling, []).append(k)
             self._longest = max((len(spelling) for spelling, _, _ in self.entries), default=0)
             self._index = index
         return self._index
@@ -159,21 +173,36 @@ class Matcher:
         """
         rules, index = self.rules, self.index
         word = rules.normalise(value)
-        best: tuple[float, float, str] | None = None
         if not word:
             return None
+        best: tuple[float, float, str] | None = None
+        open_ = []
         for text, spent in rules.variants(word, self._longest):
+            for k in self._exact.get(text, ()):
+                found = (spent, -self.entries[k][2], self.entries[k][1])
+                best = found if best is None or found < best else best
             most = rules.allowed(text)
-            seen: set[int] = set()
-            for least, keys in rules.keys(text, most >= 1.0):
+            open_.append((text, spent, most, rules.keys(text, most >= 1.0), set()))
+        while open_:
+            left = []
+            for text, spent, most, levels, seen in open_:
+                if best is not None and spent > best[0]:
+                    continue
+                least, keys = next(levels, (INFINITE, ()))
                 if least > most or best is not None and least + spent > best[0]:
-                    break
-                for k in {k for key in keys for k in index.get(key, ())} - seen:
-                    seen.add(k)
-                    spelling, name, frequency = self.entries[k]
-                    d = 0.0 if spelling == text else rules.distance(text, spelling, most)
-                    if d <= most and (best is None or (d + spent, -frequency, name) < best):
-                        best = (d + spent, -frequency, name)
+                    continue
+                for key in keys:
+                    for k in index.get(key, ()):
+                        if k in seen:
+                            continue
+                        seen.add(k)
+                        spelling, name, frequency = self.entries[k]
+                        bound = most if best is None else min(most, best[0] - spent + 1e-9)
+                        d = rules.distance(text, spelling, bound) if bound >= 0 else INFINITE
+                        if d <= most and (best is None or (d + spent, -frequency, name) < best):
+                            best = (d + spent, -frequency, name)
+                left.append((text, spent, most, levels, seen))
+            open_ = left
         return best
 
     def lookup(self, value: str) -> str:
@@ -220,6 +249,7 @@ def gene_word(value: str) -> str:
     return _LEADING_ZERO.sub(lambda m: _ZERO * len(m.group()), text)
 
 
+@lru_cache(maxsize=1 << 16)
 def gene_cost(x: str, y: str) -> float:
     """Signs, leading zeros and look-alikes are petty, one letter may be mistyped, digits and what parts them tell genes apart."""
     if x in ("", _SOFT, _ZERO) and y in ("", _SOFT, _ZERO):
