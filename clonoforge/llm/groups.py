@@ -44,53 +44,58 @@ def _hooks(edges: DataFrame, seed: int) -> DataFrame:
     return best.select("v", F.when(own <= F.col("h"), F.col("v")).otherwise(F.col("w")).alias("r"), "degree")
 
 
-def _rooted(hooks: DataFrame) -> DataFrame:
-    """(v, r) with each hook followed twice more: v -> r -> r's hook -> its hook, all in one contraction."""
+def _followed(hooks: DataFrame) -> DataFrame:
+    """(v, r) with each hook followed once more, to what r is hooked to."""
     up = hooks.select(F.col("v").alias("r"), F.col("r").alias("up"))
-    return hooks.join(up, "r").select("v", F.col("up").alias("r")).join(up, "r").select("v", F.col("up").alias("r"))
+    return hooks.join(up, "r").select("v", F.col("up").alias("r"))
 
 
-def _renamed(edges: DataFrame, hooks: DataFrame, hubs: DataFrame, end: str) -> DataFrame:
+def _renamed(edges: DataFrame, hooks: DataFrame, hubs: DataFrame | None, end: str) -> DataFrame:
     """edges with one end renamed. Edges of hubs meet a broadcast, so that no task gets a hub's edges; the rest are joined by hash."""
     near = hooks.select(F.col("v").alias(end), F.col("r").alias("_to"))
-    few = F.broadcast(hubs.select(F.col("v").alias(end), F.col("r").alias("_to")))
-    both = edges.join(few, end).unionByName(edges.join(few, end, "left_anti").join(near, end))
+    if hubs is None:
+        both = edges.join(near, end)
+    else:
+        few = F.broadcast(hubs.select(F.col("v").alias(end), F.col("r").alias("_to")))
+        both = edges.join(few, end).unionByName(edges.join(few, end, "left_anti").join(near, end))
     return both.drop(end).withColumnRenamed("_to", end)
 
 
-#: A hub has more than this share of all edges' ends; there are at most 2 / HUB_SHARE of them.
-HUB_SHARE = 0.002
+#: A hub has at least so many neighbours and more than this share of all edges' ends: of hubs there are 2 / HUB_SHARE at most.
+HUB_DEGREE, HUB_SHARE = 100_000, 0.002
 
 
-def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
+def contract(edges: DataFrame, seed: int = 17, hub_degree: int = HUB_DEGREE) -> DataFrame:
     """(v, label): every vertex of edges (a, b) with one label per connected component.
 
     Each round every vertex hooks to the member of its closed neighbourhood whose hash
-    under the round's seed is least, hooks are followed to the hook's hook, both ends of the
-    edges are renamed, loops fall away and equal edges become one. Every round at least
-    the vertex of greatest hash in each component goes, so it ends by itself; a constant
-    share of the vertices is expected to go, so the rounds are logarithmic and their total
-    size is a multiple of the first. The hooks of all rounds are then expanded from the last
-    to the first, each step stored, so that no plan grows with the rounds. Every round is a
-    table in the shared checkpoint folder: no link, component or label comes to the driver,
-    only the count of edges left. Vertices with more than HUB_SHARE of the ends are renamed by
-    a broadcast of at most 1,000 rows.
+    under the round's seed is least, hooks are followed once, both ends of the edges are
+    renamed, loops fall away and equal edges become one. Every round at least the vertex of
+    greatest hash in each component goes, so it ends by itself; a constant share of the
+    vertices is expected to go, so the rounds are logarithmic and their total size is a
+    multiple of the first. The hooks of all rounds are then expanded from the last to the
+    first, stored every third step, so that no plan grows with the rounds. Every round is a table in
+    the shared checkpoint folder: no link, component or label comes to the driver, only the
+    count of edges left. Hubs, vertices with `hub_degree` neighbours and more than HUB_SHARE of
+    all ends, are renamed by a broadcast of at most 1,000 rows.
     """
     rounds: list[DataFrame] = []
     edges = cut(edges)
     while left := edges.count():
         hooked = cut(_hooks(edges, seed + 7919 * len(rounds)))
-        hooks = cut(_rooted(hooked.select("v", "r")))
+        hooks = cut(_followed(hooked.select("v", "r")))
         rounds.append(hooks)
-        hubs = hooked.filter(F.col("degree") > HUB_SHARE * left).select("v").join(hooks, "v")
+        most = max(hub_degree, HUB_SHARE * left)
+        hubs = hooked.filter(F.col("degree") > most).select("v").join(hooks, "v") if left > most else None
         renamed = _renamed(_renamed(edges, hooks, hubs, "a"), hooks, hubs, "b").filter(F.col("a") != F.col("b"))
         edges = cut(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not rounds:
         return edges.select(F.col("a").alias("v"), F.col("a").alias("label"))
     labels = rounds[-1].select("v", F.col("r").alias("label"))
-    for hooks in reversed(rounds[:-1]):
+    for step, hooks in enumerate(reversed(rounds[:-1]), 1):
         above = labels.select(F.col("v").alias("r"), "label")
-        labels = cut(hooks.join(above, "r", "left").select("v", F.coalesce("label", "r").alias("label")))
+        labels = hooks.join(above, "r", "left").select("v", F.coalesce("label", "r").alias("label"))
+        labels = cut(labels) if step % 3 == 0 else labels
     return labels
 
 

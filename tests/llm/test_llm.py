@@ -39,6 +39,22 @@ def test_groups_against_union_find(spark):
     assert groups.consolidate([df.limit(0)], ids).count() == 0
 
 
+def test_hubs_are_renamed_alike(spark):
+    rng = random.Random(12)
+    edges = sorted({(h, k) for h in (1, 2) for k in range(10, 150)} | {tuple(sorted(rng.sample(range(200, 400), 2))) for _ in range(150)})
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    sets = []
+    for degree in (groups.HUB_DEGREE, 3):
+        found = {}
+        for r in groups.contract(df, hub_degree=degree).collect():
+            found.setdefault(r.label, set()).add(r.v)
+        sets.append(sorted(map(sorted, found.values())))
+    want = {}
+    for v, g in plain_groups([list(e) for e in edges], None).items():
+        want.setdefault(g, set()).add(v)
+    assert sets[0] == sets[1] == sorted(map(sorted, want.values()))
+
+
 def plain_weighted(a, b, cost):
     d = {(0, 0): 0.0}
     for i in range(len(a) + 1):
