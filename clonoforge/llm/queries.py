@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoforge.llm.canonical import UNMATCHED, GeneRules, bounded, canonical_by_join, canonical_values, gene_matcher, gene_table, typed_values
+from clonoforge.llm.canonical import LOOKALIKES, OTHER_SEGMENTS, UNMATCHED, GeneRules, bounded, canonical_by_join, canonical_values, gene_matcher, gene_table, typed_values
 from clonoforge.llm.groups import consolidate, pairs_as_lists
 from clonoforge.llm.leaks import find_leaks
 from clonoforge.llm.packing import fill, pack, token_counts
 from clonoforge.llm.truncation import judge, rates
-from clonoforge.session import table
+from clonoforge.session import cut, table
 
 #: Genes whose dictionary is broadcast, more than any species has; beyond it the dictionary is a table.
 MOST_GENES = 20_000
@@ -70,6 +72,48 @@ def p3_misses(spark: SparkSession, d: str) -> DataFrame:
     return _genes(spark, d).filter(F.col("name") == UNMATCHED).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _plain_letters() -> dict[str, str]:
+    """Every character of the first plane that stands for one ASCII sign, and that sign."""
+    out = {chr(k): chr(v) if isinstance(v, int) else v for k, v in LOOKALIKES.items()}
+    for c in map(chr, (k for k in range(0x80, 0x10000) if not 0xD800 <= k < 0xE000)):
+        if len(plain := unicodedata.normalize("NFKC", c)) == 1 and plain.isascii() and plain.isprintable() and plain != "'":
+            out.setdefault(c, plain)
+    return out | dict.fromkeys("‐‑‒–—―−﹣－", "-") | dict.fromkeys("∕⁄／", "/")
+
+
+def _number_sql(c: str) -> str:
+    return f"CASE WHEN {c} <> '' THEN coalesce(nullif(ltrim(translate({c}, 'OIL|', '0111'), '0'), ''), '0') ELSE '' END"
+
+
+# The same genes by another way: words and remarks are cut off by expressions, numbers compared, letters by their distance.
+_PLAIN = _plain_letters()
+_N = "[0-9OIL|]+"
+_GENE = rf"([A-Z](?:[A-Z]|[\s._-]+[A-Z])*?)[\s._:-]*({_N})(?:(?:\s*[-._]+\s*|\s+)({_N}))?(?:[\s/_.,;-]*DV[\s-]*({_N}(?:[-.]{_N})?))?(?:[^A-Z0-9].*)?$"
+_OWN = ("TR{x}V", "TCR{x}V", "TCRV{x}", "{x}V", "V{x}")
+_GENES_SQL = f"""
+WITH typed AS (
+  SELECT rid, 'v_gene' AS field, 'TRB' AS chain, v_gene AS value FROM chain_records UNION ALL SELECT rid, 'va_gene', 'TRA', va_gene FROM chain_records
+), given AS (
+  SELECT * FROM typed t WHERE upper(trim(value, E' \\t\\r\\n')) NOT IN ('', 'NA') AND NOT EXISTS (SELECT 1 FROM gene_reference g WHERE g.chain = t.chain AND g.gene = t.value)
+), folded AS (SELECT DISTINCT chain, value, upper(translate(value, '{''.join(_PLAIN)}', '{''.join(_PLAIN.values())}')) AS x FROM given
+), cleaned AS (
+  SELECT chain, value, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\*\\s*[0-9OIL]+(:[0-9]+)?', ' ', 'g'),
+    'T[\\s-]?CELL[\\s-]+RECEPTOR', 'TCR'), '\\bALPHA\\b', 'A'), '\\bBETA\\b', 'B'), '\\bVARIABLE\\b|\\bVAR\\b\\.?', 'V'), '^[^A-Z]*(?:(?:HUMAN|HOMO SAPIENS|GENE|IMGT|HSA?)[^A-Z]+)+', ''), '^[^A-Z]*HSA?_?(TR|TCR)', '\\1') AS x FROM folded
+), parts AS (SELECT chain, value, regexp_extract(x, '{_GENE}', ['pre', 'fam', 'mem', 'dv']) AS p FROM cleaned
+), read AS (
+  SELECT chain, value, regexp_replace(p.pre, '[^A-Z]', '', 'g') AS letters, {_number_sql('p.fam')} || CASE WHEN p.mem <> '' THEN '-' || {_number_sql('p.mem')} ELSE '' END || CASE WHEN p.dv <> '' THEN '/DV' || {_number_sql('p.dv')} ELSE '' END AS number FROM parts
+), meant AS (
+  SELECT r.chain, r.value, max(g.gene) AS gene FROM read r JOIN gene_reference g ON g.chain = r.chain AND substr(g.gene, 5) = r.number
+  WHERE list_contains(list_transform({list(_OWN)!r}, lambda s: replace(s, '{{x}}', substr(r.chain, 3))), r.letters)
+    OR length(r.letters) > 2 AND r.letters NOT IN ({', '.join(repr(x) for x in OTHER_SEGMENTS)})
+      AND len(list_filter({list(_OWN)!r}, lambda s: damerau_levenshtein(replace(s, '{{x}}', substr(r.chain, 3)), r.letters) <= 1)) > 0
+  GROUP BY 1, 2
+)
+"""
+P3_FOUND_SQL = _GENES_SQL + "SELECT g.rid, g.field, coalesce(m.gene, 'UNMATCHED') AS gene FROM given g LEFT JOIN meant m ON m.chain = g.chain AND m.value = g.value"
+P3_MISSES_SQL = _GENES_SQL + "SELECT g.field, g.value, count(*)::BIGINT AS n_rows FROM given g LEFT JOIN meant m ON m.chain = g.chain AND m.value = g.value WHERE m.gene IS NULL GROUP BY 1, 2"
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every text in a container of each capacity, measured in tokens."""
     sizes = token_counts(table(spark, d, "documents"), "text", ["doc_id"])
@@ -81,6 +125,21 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(p6_pack(spark, d), table(spark, d, "pack_targets"), "target_id", "capacity_tokens")
 
 
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers of each capacity: every text is there, nothing is lost, overfull or split without need."""
+    sizes = cut(token_counts(table(spark, d, "documents"), "text", ["doc_id"]))
+    targets = table(spark, d, "pack_targets")
+    packed = cut(pack(sizes, targets, "doc_id", "n_tokens", "target_id", "capacity_tokens"))
+    per_item = packed.groupBy("target_id", "doc_id").agg(F.sum("length").alias("held"), F.count(F.lit(1)).alias("pieces")).join(sizes, "doc_id").join(targets.select("target_id", F.col("capacity_tokens").cast("bigint").alias("room")), "target_id")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("room")))
+    items = per_item.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.col("n_tokens") - F.col("held")).alias("n_lost"), F.count_if(F.col("pieces") != needed).alias("n_missplit"))
+    full = packed.filter("container_id IS NOT NULL").groupBy("target_id", "container_id").agg(F.sum("length").alias("held")).join(targets.select("target_id", F.col("capacity_tokens").alias("room")), "target_id")
+    return items.join(full.groupBy("target_id").agg(F.count_if(F.col("held") > F.col("room")).alias("n_overfull")), "target_id")
+
+
+P6_SOUND_SQL = "SELECT target_id, (SELECT count(DISTINCT doc_id) FROM documents)::BIGINT AS n_items, 0::BIGINT AS n_lost, 0::BIGINT AS n_missplit, 0::BIGINT AS n_overfull FROM pack_targets WHERE capacity_tokens > 0"
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every document and the test items that stand in it."""
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "passage")
@@ -123,9 +182,10 @@ QUERIES = {
     "p3_misses": p3_misses,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
+    "p6_sound": p6_sound,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_found": p8_found,
     "p8_rates": p8_rates,
 }
-SQL = {"p2_found": P2_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_items": P7_ITEMS_SQL}
+SQL = {"p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_misses": P3_MISSES_SQL, "p6_sound": P6_SOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_items": P7_ITEMS_SQL}
