@@ -139,6 +139,28 @@ FROM s LEFT JOIN r ON r.tag = s.tag, t WHERE coalesce(r.m, 0) / t.nr <= 0.1
 """
 
 
+_RESIDUE_PAIRS = ", ".join(f"('{a}', '{b}')" for i, a in enumerate(C.RESIDUES) for j, b in enumerate(C.RESIDUES) if i == j or blosum62()[i, j] >= 0)
+GLOBAL_MATRIX_SQL = f"""
+WITH RECURSIVE alike(x, y) AS (VALUES {_RESIDUE_PAIRS}),
+s AS (SELECT tag, residue, count(*)::BIGINT AS n FROM ({_tags_sql(I.SAMPLE_SQL)}) x GROUP BY 1, 2),
+r AS (SELECT tag, residue, count(*)::BIGINT AS m FROM ({_tags_sql(I.REFERENCE_SQL)}) x GROUP BY 1, 2),
+t AS (SELECT (SELECT count(*) FROM ({I.SAMPLE_SQL}) a) AS ns, (SELECT count(*) FROM ({I.REFERENCE_SQL}) b) AS nr),
+kept AS (SELECT s.tag FROM (SELECT tag, sum(n) AS n FROM s GROUP BY 1) s LEFT JOIN (SELECT tag, sum(m) AS m FROM r GROUP BY 1) r ON r.tag = s.tag, t WHERE s.n >= 2 AND coalesce(r.m, 0) / t.nr <= 0.1),
+own AS (SELECT s.* FROM s JOIN kept ON kept.tag = s.tag),
+reach(tag, residue, least) AS (
+  SELECT tag, residue, residue FROM own
+  UNION SELECT b.tag, b.residue, a.least FROM reach a JOIN alike k ON k.x = a.residue JOIN own b ON b.tag = a.tag AND b.residue = k.y WHERE a.least < b.residue
+),
+labels AS (SELECT tag, residue, min(least) AS part FROM reach GROUP BY 1, 2),
+ranks AS (SELECT tag, residue, row_number() OVER (PARTITION BY tag ORDER BY residue) AS k FROM own),
+sizes AS (SELECT l.tag, l.part, sum(o.n)::BIGINT AS n FROM labels l JOIN own o ON o.tag = l.tag AND o.residue = l.residue GROUP BY 1, 2),
+fits AS (SELECT DISTINCT l.tag, l.part, k.y AS residue FROM labels l JOIN alike k ON k.x = l.residue),
+others AS (SELECT f.tag, f.part, sum(r.m)::BIGINT AS m FROM fits f JOIN r ON r.tag = f.tag AND r.residue = f.residue GROUP BY 1, 2)
+SELECT z.tag, k.k::INTEGER AS part, z.n AS n_members, coalesce(o.m, 0)::BIGINT AS n_reference, round({fisher_sql('z.n', 't.ns', 'coalesce(o.m, 0)', 't.nr')}, 6)::DOUBLE AS p
+FROM sizes z JOIN ranks k ON k.tag = z.tag AND k.residue = z.part LEFT JOIN others o ON o.tag = z.tag AND o.part = z.part, t WHERE z.n >= 2
+"""
+
+
 def hamming_pairs(spark: SparkSession, d: str, most: int = 1) -> DataFrame:
     return D.hamming_pairs(I.sample(spark, d), "s", most)
 
@@ -159,6 +181,32 @@ def cluster_overlap_merge(spark: SparkSession, d: str) -> DataFrame:
     return clusters.join(members.groupBy("cid").agg(F.count(F.lit(1)).alias("n")), "cid").select("pattern", "kind", F.round("p", 9).alias("p"), "n")
 
 
+_LEAST_FOLD_SQL = "CASE length(motif) WHEN 2 THEN 1000 WHEN 3 THEN 100 ELSE 10 END"
+MERGE_SQL = f"""
+WITH RECURSIVE t AS (SELECT (SELECT count(*) FROM ({I.SAMPLE_SQL}) a) AS ns, (SELECT count(*) FROM ({I.REFERENCE_SQL}) b) AS nr),
+own AS ({_motifs_sql(I.SAMPLE_SQL)}), tags AS (SELECT DISTINCT tag, s FROM ({_tags_sql(I.SAMPLE_SQL)}) x),
+mine AS (SELECT motif, count(*)::BIGINT AS n FROM own GROUP BY 1), theirs AS ({_counts_sql(I.REFERENCE_SQL)}),
+tested AS (SELECT s.motif, s.n, {fisher_sql('s.n', 't.ns', 'coalesce(r.n, 0)', 't.nr')} AS p, s.n / (coalesce(r.n, 0) + 0.01::DOUBLE) / t.ns * t.nr AS fold FROM mine s LEFT JOIN theirs r ON r.motif = s.motif, t WHERE s.n >= 2),
+gs AS (SELECT tag, count(*)::BIGINT AS n FROM tags GROUP BY 1 HAVING count(*) >= 2), gr AS (SELECT tag, count(*)::BIGINT AS m FROM ({_tags_sql(I.REFERENCE_SQL)}) x GROUP BY 1),
+clusters AS (
+  SELECT 'local|' || motif || '|0' AS cid, motif AS pattern, 'local' AS kind, p FROM tested WHERE p <= 0.05 AND fold >= {_LEAST_FOLD_SQL}
+  UNION ALL SELECT 'global|' || gs.tag || '|0', gs.tag, 'global', {fisher_sql('gs.n', 't.ns', 'coalesce(gr.m, 0)', 't.nr')} FROM gs LEFT JOIN gr ON gr.tag = gs.tag, t WHERE coalesce(gr.m, 0) / t.nr <= 0.1
+), members AS (
+  SELECT c.cid, c.kind, o.s FROM clusters c JOIN own o ON c.kind = 'local' AND o.motif = c.pattern
+  UNION ALL SELECT c.cid, c.kind, g.s FROM clusters c JOIN tags g ON c.kind = 'global' AND g.tag = c.pattern
+), sizes AS (SELECT cid, count(*) AS n FROM members GROUP BY 1),
+shared AS (SELECT l.cid AS l, g.cid AS g, count(*) AS n FROM members l JOIN members g ON g.s = l.s AND l.kind = 'local' AND g.kind = 'global' GROUP BY 1, 2 HAVING count(*) >= 4),
+links AS (SELECT h.l, h.g FROM shared h JOIN sizes a ON a.cid = h.l JOIN sizes b ON b.cid = h.g WHERE h.n / least(a.n, b.n) >= 0.8 AND NOT (h.n = a.n AND h.n = b.n)),
+ways AS (SELECT l AS a, g AS b FROM links UNION SELECT g, l FROM links),
+reach(v, least) AS (SELECT a, a FROM ways UNION SELECT w.b, r.least FROM reach r JOIN ways w ON w.a = r.v WHERE r.least < w.b),
+labelled AS (SELECT c.*, coalesce(x.component, c.cid) AS component FROM clusters c LEFT JOIN (SELECT v, min(least) AS component FROM reach GROUP BY 1) x ON x.v = c.cid),
+merged AS (SELECT component, coalesce(first(pattern ORDER BY length(pattern) DESC, pattern) FILTER (kind = 'local'), first(pattern ORDER BY length(pattern) DESC, pattern) FILTER (kind = 'global')) AS pattern,
+  CASE WHEN bool_or(kind = 'global') THEN 'global' ELSE 'local' END AS kind, min(p) AS p FROM labelled GROUP BY 1),
+inside AS (SELECT l.component, count(DISTINCT m.s)::BIGINT AS n FROM members m JOIN labelled l ON l.cid = m.cid GROUP BY 1)
+SELECT g.pattern, g.kind, round(g.p, 9)::DOUBLE AS p, i.n FROM merged g JOIN inside i ON i.component = g.component WHERE i.n >= 2
+"""
+
+
 def singletons(spark: SparkSession, d: str) -> DataFrame:
     sample, reference = I.sample(spark, d), I.reference(spark, d)
     members = E.motif_members(sample).join(E.local_motifs(sample, reference).select("motif"), "motif", "left_semi").select("s")
@@ -249,6 +297,26 @@ def joint_distance(spark: SparkSession, d: str) -> DataFrame:
     return sides.join(table_, ["v1", "v2"]).select("a", "v1", "b", "v2", total.alias("d")).filter(F.col("d") <= cutoff)
 
 
+_KNOWN_SQL = f"SELECT DISTINCT beta, CASE WHEN contains(v_gene, '*') THEN v_gene ELSE v_gene || '*01' END AS v FROM ({I.CHAINS_SQL}) c WHERE v_gene IS NOT NULL AND (CASE WHEN contains(v_gene, '*') THEN v_gene ELSE v_gene || '*01' END) IN (SELECT gene FROM ({I.GERMLINE_SQL}) g)"
+JOINT_SQL = f"""
+WITH known AS ({_KNOWN_SQL}), m AS (SELECT {_D_LIST} AS d), coded AS ({_CODED_SQL.format(r=C.RESIDUES, x='SELECT DISTINCT beta AS s FROM known')}),
+near AS (
+  SELECT a, b, dist FROM (
+    SELECT x.s AS a, y.s AS b, coalesce(list_sum(list_transform(range(4, x.n - 1), lambda i: m.d[x.c[i] * 20 + y.c[i] + 1])), 0) AS dist FROM coded x JOIN coded y ON x.n = y.n AND x.s < y.s, m) t WHERE dist <= 12
+  UNION ALL SELECT least(a, b), greatest(a, b), dist FROM ({_unequal_sql('SELECT * FROM coded', 12)}) u WHERE dist <= 12
+  UNION ALL SELECT s, s, 0 FROM coded
+), sides AS (SELECT n.a, k.v AS v1, n.b, l.v AS v2, n.dist FROM near n JOIN known k ON k.beta = n.a JOIN known l ON l.beta = n.b WHERE n.a < n.b OR k.v < l.v),
+loops AS (SELECT g1, g2, d AS g FROM ({GERMLINE_SQL}) x)
+SELECT a, v1, b, v2, least(255, least(255, dist * 3) + g)::INTEGER AS d FROM sides JOIN loops ON g1 = v1 AND g2 = v2 WHERE least(255, least(255, dist * 3) + g) <= 36
+"""
+
+_BLOSUM_LIST = "[" + ", ".join(str(int(x)) for x in blosum62().ravel()) + "]"
+# Sequences that differ in one place align best without a gap: a gap costs 14 and a residue, the place 15 at most.
+NW_SQL = f"""
+SELECT a, b, list_sum(list_transform(range(1, length(a) + 1), lambda i: m.s[(instr('{C.RESIDUES}', substr(a, i::INTEGER, 1)) - 1) * 20 + instr('{C.RESIDUES}', substr(b, i::INTEGER, 1))]))::DOUBLE AS score
+FROM ({_hamming_sql(1)}) p, (SELECT {_BLOSUM_LIST} AS s) m
+"""
+
 # --- linkage -----------------------------------------------------------------------------------
 
 CUTOFFS = [1, 3, 6]
@@ -380,6 +448,31 @@ def alpha_motif(spark: SparkSession, d: str) -> DataFrame:
     return cluster_motifs(groups.join(I.chains(spark, d), "rid"), "cluster", "alpha")
 
 
+def _rep_motif_sql(column: str) -> str:
+    """The motif of every group of matched records, word by word: support as lists of sequences."""
+    return f"""
+WITH RECURSIVE ways AS (SELECT i AS v, j AS w FROM ({I.EDGES_SQL}) e WHERE d <= 3 AND i IS NOT NULL AND j IS NOT NULL UNION SELECT j, i FROM ({I.EDGES_SQL}) e WHERE d <= 3 AND i IS NOT NULL AND j IS NOT NULL),
+reach(v, least) AS (SELECT v, v FROM ways UNION SELECT w.w, r.least FROM reach r JOIN ways w ON w.v = r.v WHERE r.least < w.w),
+seqs AS (SELECT DISTINCT g.cluster, c.{column} AS s FROM (SELECT v, min(least) AS cluster FROM reach GROUP BY 1) g JOIN ({I.CHAINS_SQL}) c ON c.rid = g.v),
+sizes AS (SELECT cluster, count(s) FILTER (s <> '')::BIGINT AS n, min(s) FILTER (s <> '') AS one FROM seqs GROUP BY 1),
+alike(x, y) AS (VALUES {_RESIDUE_PAIRS}),
+regions AS (SELECT s.cluster, s.s, CASE WHEN length(s.s) > 6 THEN substr(s.s, 4, length(s.s) - 6) ELSE s.s END AS r FROM seqs s JOIN sizes z ON z.cluster = s.cluster WHERE s.s <> '' AND z.n > 1),
+words AS (SELECT DISTINCT cluster, s, k, substr(r, i::INTEGER, k::INTEGER) AS word FROM (SELECT *, unnest(generate_series(1, length(r) - k + 1)) AS i FROM (SELECT *, unnest(range(3, 9)) AS k FROM regions) a) b),
+own AS (SELECT cluster, k, word, count(*) AS own FROM words GROUP BY 1, 2, 3),
+held AS (SELECT cluster, k, word, own, p, substr(word, 1, p::INTEGER) || '%' || substr(word, p::INTEGER + 2) AS mask, substr(word, p::INTEGER + 1, 1) AS letter FROM (SELECT *, unnest(range(0, k)) AS p FROM own) o),
+covered AS (SELECT c.cluster, c.k, c.p, c.word AS center, c.own AS own_center, c.mask, h.letter, h.own, h.word FROM held c JOIN held h ON h.cluster = c.cluster AND h.k = c.k AND h.p = c.p AND h.mask = c.mask JOIN alike a ON a.x = c.letter AND a.y = h.letter),
+breadth AS (SELECT cluster, k, p, center, any_value(own_center) AS own_center, any_value(mask) AS mask, count(*) AS breadth, string_agg(letter, '/' ORDER BY own DESC, letter) AS letters FROM covered GROUP BY 1, 2, 3, 4),
+support AS (SELECT c.cluster, c.k, c.p, c.center, list_sort(list(DISTINCT w.s)) AS held FROM covered c JOIN words w ON w.cluster = c.cluster AND w.k = c.k AND w.word = c.word GROUP BY 1, 2, 3, 4),
+firsts AS (SELECT b.*, len(u.held) AS support, row_number() OVER (PARTITION BY b.cluster, b.k, b.center, u.held ORDER BY b.p) AS turn FROM breadth b JOIN support u ON u.cluster = b.cluster AND u.k = b.k AND u.p = b.p AND u.center = b.center),
+named AS (SELECT *, CASE WHEN breadth > 1 THEN mask ELSE center END AS consensus FROM firsts WHERE turn = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY cluster, k ORDER BY support DESC, own_center DESC, breadth DESC, consensus, p) AS place FROM named),
+chosen AS (SELECT b.*, row_number() OVER (PARTITION BY b.cluster ORDER BY b.k DESC) AS turn_k FROM best b JOIN sizes z ON z.cluster = b.cluster WHERE b.place = 1 AND b.support / z.n >= 0.5)
+SELECT z.cluster, CASE WHEN z.n = 1 THEN z.one ELSE c.consensus END AS motif, CASE WHEN z.n = 1 THEN z.one WHEN c.breadth > 1 THEN substr(c.center, 1, c.p::INTEGER) || '[' || c.letters || ']' || substr(c.center, c.p::INTEGER + 2) ELSE c.center END AS degenerate,
+  CASE WHEN z.n = 1 THEN 1 ELSE coalesce(c.support, 0) END::BIGINT AS support, CASE WHEN z.n = 1 THEN 1.0 ELSE c.support / z.n END::DOUBLE AS fraction, z.n
+FROM sizes z LEFT JOIN chosen c ON c.cluster = z.cluster AND c.turn_k = 1
+"""
+
+
 def _database(spark: SparkSession, d: str) -> DataFrame:
     """Annotated sequences: those of clusters, with their patterns as epitopes."""
     rows = table(spark, d, "cluster_output").select("tcrb", F.col("kind").alias("receptor_group"), F.col("pattern").alias("epitope"), F.col("vb").alias("antigen"), F.col("condition").alias("organism")).distinct()
@@ -494,6 +587,13 @@ SQL = {
     "singletons": SINGLETONS_SQL,
     "exact_clusters": f"SELECT beta, alpha, count(*)::BIGINT AS n, min(rid) AS first_rid FROM ({I.CHAINS_SQL}) c GROUP BY 1, 2 HAVING count(*) >= 2",
     "tcrdist_pairs_eqlen": TCRDIST_SQL,
+    "tcrdist_pairs": ALL_TCRDIST_SQL,
+    "joint_distance": JOINT_SQL,
+    "nw_score": NW_SQL,
+    "cluster_overlap_merge": MERGE_SQL,
+    "global_clusters_matrix": GLOBAL_MATRIX_SQL,
+    "rep_motif": _rep_motif_sql("beta"),
+    "alpha_motif": _rep_motif_sql("alpha"),
     "germline_distance": GERMLINE_SQL,
     "single_linkage": _linked_sql(_LEVELS_SQL),
     "shared_neighbor": _linked_sql(SHARED_SQL),
