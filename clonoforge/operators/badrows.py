@@ -185,16 +185,20 @@ _PARSED = [*(T.StructField(c, T.StringType()) for c in RECORD_FIELDS), T.StructF
 
 def parse_records(lines: Iterable[str], layout: Layout, out: dict[str, list]) -> int:
     """Assembles and parses lines of one layout into the lists of `out`; how many records there were."""
-    n = 0
-    for record in assemble(lines, layout.separator, layout.width):
-        if not record.strip():
-            continue
-        reason, fields = layout.record(record)
-        for c in out:
-            out[c].append(fields.get(c))
-        out["reason"][-1], out["line"][-1] = reason, record
-        n += 1
-    return n
+    return sum(parse_record(record, layout, out) for record in assemble(lines, layout.separator, layout.width))
+
+
+def parse_record(record: str, layout: Layout, out: dict[str, list]) -> int:
+    """Parses one record into the lists of `out`; 0 for a blank one."""
+    if not record or record.isspace():
+        return 0
+    reason, fields = layout.record(record)
+    for c in RECORD_FIELDS:
+        out[c].append(fields.get(c))
+    out["counts"].append(fields.get("counts"))
+    out["reason"].append(reason)
+    out["line"].append(record)
+    return 1
 
 
 #: Bytes of header lines that are broadcast; more of them meet their lines in a shuffle.
@@ -234,7 +238,9 @@ def parse_chain_lines(lines: DataFrame, line_id: str = "line_id", file_name: str
             for k, (text, header) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 text = strip_line(text)
                 layout = layouts.get(header) or layouts.setdefault(header, Layout(header))
-                rows += [k] * parse_records(text.split("\n"), layout, out)
+                # A row without a line end inside is one record as it stands.
+                n = parse_records(text.split("\n"), layout, out) if "\n" in text else parse_record(text, layout, out)
+                rows += [k] * n
             taken = batch.take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays([*taken.columns[:3], *_record_columns(out)], names=schema.names)
 
