@@ -13,7 +13,7 @@ from clonoforge.functions.columns import RESIDUES, fisher, fold_change, is_cdr3,
 from clonoforge.functions.kernels import seed_of
 from clonoforge.operators.distances import hamming_pairs
 from clonoforge.operators.graph import components
-from clonoforge.session import cut
+from clonoforge.session import cut, spread
 
 #: Least fold change of a motif of 2, 3 and 4 or more residues.
 LEAST_FOLD = {2: 1000.0, 3: 100.0, 4: 10.0, 5: 10.0}
@@ -251,7 +251,7 @@ def simulated_motif_test(statistics: DataFrame, n_sample: int, n_reference: int,
             rows.append((max((hits >= observed).sum() / simulations, 1 / simulations), observed / mean if mean > 0 else 1 / (simulations * max(n_sample, 1))))
         return pd.DataFrame(rows, columns=["p", "ratio"])
 
-    return statistics.select("motif", test("motif", "n_sample", "n_reference").alias("t")).select("motif", "t.p", "t.ratio")
+    return spread(statistics, "motif").select("motif", test("motif", "n_sample", "n_reference").alias("t")).select("motif", "t.p", "t.ratio")
 
 
 def pattern_counts(unique: DataFrame, pattern: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from clonoforge.functions.columns import RESIDUES, is_residues, trim_flanks
 from clonoforge.functions.kernels import k3_layers, k3_pairs
 from clonoforge.functions.matrices import encode, kernel_k1
-from clonoforge.session import cut
+from clonoforge.session import cut, spread
 
 THRESHOLD = 0.97
 #: Database sequences that are broadcast at once.
@@ -82,7 +82,7 @@ def similar_pairs(inputs: DataFrame, database: DataFrame, threshold: float = THR
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold lies between 0 and 1")
     spark = inputs.sparkSession
-    left = inputs.select("sequence").distinct()
+    left = spread(inputs.select("sequence").distinct())
     right = cut(database.select("sequence").distinct())
     blocks = max(1, -(-right.count() // block))
     schema = T.StructType([T.StructField("sequence", T.StringType()), T.StructField("match", T.StringType()), T.StructField("score", T.DoubleType())])

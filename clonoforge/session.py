@@ -61,6 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df in as many partitions as shuffles have, by `columns` or evenly.
+
+    For rows that cost much time and few bytes: adaptive execution joins small partitions by
+    their bytes, which would leave all of that time to one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def ship(spark: SparkSession) -> None:
     """This package's source to the workers, once per application: they need not find it on their own path."""
     if getattr(spark.sparkContext, "_clonoforge_shipped", False):
