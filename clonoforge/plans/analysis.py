@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from clonoforge.operators import graph as G
 from clonoforge.operators import scoring as S
 from clonoforge.operators import similarity as M
 from clonoforge.operators.motifs import cluster_motifs
+from clonoforge.operators.pipeline import MODES, usable_records
 from clonoforge.plans import inputs as I
 from clonoforge.session import cut, table
 
@@ -207,6 +208,19 @@ SELECT g.pattern, g.kind, round(g.p, 9)::DOUBLE AS p, i.n FROM merged g JOIN ins
 """
 
 
+PATTERNS = ("A%G", "G%%E", "S%", "%%%%%%%%%%")
+
+
+def pattern_match(spark: SparkSession, d: str) -> DataFrame:
+    """In how many sequences' motif regions each pattern stands."""
+    sample = I.sample(spark, d)
+    counts = [E.pattern_counts(sample, p).select(F.lit(p).alias("pattern"), "n") for p in PATTERNS]
+    return reduce(DataFrame.unionByName, counts)
+
+
+PATTERN_MATCH_SQL = " UNION ALL ".join(f"SELECT '{p}' AS pattern, count(*) FILTER (regexp_matches({REGION}, '{p.replace('%', '.')}'))::BIGINT AS n FROM ({I.SAMPLE_SQL}) x" for p in PATTERNS)
+
+
 def singletons(spark: SparkSession, d: str) -> DataFrame:
     sample, reference = I.sample(spark, d), I.reference(spark, d)
     members = E.motif_members(sample).join(E.local_motifs(sample, reference).select("motif"), "motif", "left_semi").select("s")
@@ -310,6 +324,42 @@ loops AS (SELECT g1, g2, d AS g FROM ({GERMLINE_SQL}) x)
 SELECT a, v1, b, v2, least(255, least(255, dist * 3) + g)::INTEGER AS d FROM sides JOIN loops ON g1 = v1 AND g2 = v2 WHERE least(255, least(255, dist * 3) + g) <= 36
 """
 
+def mode_pairs(spark: SparkSession, d: str, mode: str, cutoff: int) -> DataFrame:
+    """Pairs of different records within a distance under one of the distance modes."""
+    kind = MODES[mode]
+    usable = usable_records(I.chains(spark, d), kind, I.germline(spark, d))
+    parts = ["beta", *(["alpha"] if kind.alpha else []), *(["vb", "va"][: 1 + kind.alpha] if kind.germline else [])]
+    vertices = cut(usable.select("v", *parts).distinct())
+    return D.joint_pairs(vertices, cutoff, kind.alpha, I.germline(spark, d) if kind.germline else None, cdr3_weight=kind.cdr3_weight)
+
+
+def _all_near_sql(column: str, cutoff: int) -> str:
+    """CTEs near_<column>(a, b, dist): every two values within the cutoff, both ways and each with itself."""
+    return f"""
+c_{column} AS ({_CODED_SQL.format(r=C.RESIDUES, x=f'SELECT DISTINCT {column} AS s FROM vertices')}),
+half_{column} AS (
+  SELECT a, b, dist FROM (SELECT x.s AS a, y.s AS b, coalesce(list_sum(list_transform(range(4, x.n - 1), lambda i: m.d[x.c[i] * 20 + y.c[i] + 1])), 0) AS dist FROM c_{column} x JOIN c_{column} y ON x.n = y.n AND x.s < y.s, m) t WHERE dist <= {cutoff}
+  UNION ALL SELECT a, b, dist FROM ({_unequal_sql(f'SELECT * FROM c_{column}', cutoff)}) u WHERE dist <= {cutoff}),
+near_{column} AS (SELECT a, b, dist FROM half_{column} UNION ALL SELECT b, a, dist FROM half_{column} UNION ALL SELECT s, s, 0 FROM c_{column})"""
+
+
+def _mode_sql(mode: str, cutoff: int) -> str:
+    kind = MODES[mode]
+    chains_ = ["beta", "alpha"][: 1 + kind.alpha]
+    alleles = {"vb": "v_gene", "va": "va_gene"} if kind.alpha else {"vb": "v_gene"}
+    alleles = alleles if kind.germline else {}
+    columns = [*chains_, *[f"CASE WHEN contains({g}, '*') THEN {g} WHEN {g} IS NOT NULL THEN {g} || '*01' END AS {a}" for a, g in alleles.items()]]
+    known = " AND ".join(["true", *[f"{a} IN (SELECT gene FROM ({I.GERMLINE_SQL}) g)" for a in alleles], *(["alpha <> ''"] if kind.alpha else [])])
+    total = f"{kind.cdr3_weight} * ({' + '.join(f'n_{c}.dist' for c in chains_)})" + "".join(f" + g_{a}.d" for a in alleles)
+    joins = "JOIN near_beta n_beta ON n_beta.a = x.beta JOIN vertices y ON y.beta = n_beta.b AND x.v < y.v " + ("JOIN near_alpha n_alpha ON n_alpha.a = x.alpha AND n_alpha.b = y.alpha " if kind.alpha else "") + " ".join(f"JOIN loops g_{a} ON g_{a}.g1 = x.{a} AND g_{a}.g2 = y.{a}" for a in alleles)
+    return f"""
+WITH m AS (SELECT {_D_LIST} AS d), vertices AS (SELECT DISTINCT *, concat_ws('|', {', '.join([*chains_, *alleles])}) AS v FROM (SELECT {', '.join(columns)} FROM ({I.CHAINS_SQL}) c) r WHERE {known}),
+loops AS ({GERMLINE_SQL if kind.germline else "SELECT 1 AS g1"}), {', '.join(_all_near_sql(c, cutoff // kind.cdr3_weight) for c in chains_)}
+SELECT x.v AS i, y.v AS j, ({total})::INTEGER AS d FROM vertices x {joins} WHERE {total} <= {cutoff}
+"""
+
+
+MODE_CUTOFFS = {"beta-full": 24, "alpha-beta": 12, "alpha-beta-full": 24}
 _BLOSUM_LIST = "[" + ", ".join(str(int(x)) for x in blosum62().ravel()) + "]"
 # Sequences that differ in one place align best without a gap: a gap costs 14 and a residue, the place 15 at most.
 NW_SQL = f"""
@@ -549,6 +599,8 @@ QUERIES = {
     "exact_clusters": exact_clusters,
     "tcrdist_pairs_eqlen": partial(tcrdist_pairs, equal_only=True),
     "tcrdist_pairs": tcrdist_pairs,
+    "pattern_match": pattern_match,
+    **{f"pairs_{m.replace('-', '_')}": partial(mode_pairs, mode=m, cutoff=c) for m, c in MODE_CUTOFFS.items()},
     "germline_distance": germline_distance,
     "joint_distance": joint_distance,
     "single_linkage": single_linkage,
@@ -594,6 +646,8 @@ SQL = {
     "global_clusters_matrix": GLOBAL_MATRIX_SQL,
     "rep_motif": _rep_motif_sql("beta"),
     "alpha_motif": _rep_motif_sql("alpha"),
+    "pattern_match": PATTERN_MATCH_SQL,
+    **{f"pairs_{m.replace('-', '_')}": _mode_sql(m, c) for m, c in MODE_CUTOFFS.items()},
     "germline_distance": GERMLINE_SQL,
     "single_linkage": _linked_sql(_LEVELS_SQL),
     "shared_neighbor": _linked_sql(SHARED_SQL),

@@ -16,6 +16,7 @@ from clonoforge.session import table
 from clonoforge.sources import files as S
 from clonoforge.sources import plates as P
 from clonoforge.sources.chains import LOCI, join_hla
+from clonoforge.sources.tables import paired_files
 
 
 def agg_cellranger(spark: SparkSession, d: str, keep_alpha: bool = False) -> DataFrame:
@@ -78,6 +79,18 @@ FROM (SELECT *, unnest(generate_series(1, len(l_{fields[0]}))) AS i FROM (SELECT
 """
 
 
+def split_ragged_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row and chain of both tables whose lists differ in length, which the splitting queries drop."""
+    sides = [ragged_rows(table(spark, d, t), chain).select(F.lit(t).alias("source"), F.lit(chain).alias("chain"), "cell_id") for t in ("cells_trvj", "cells_ctgene") for chain in ("alpha", "beta")]
+    return union_files(sides)
+
+
+def _ragged_sql() -> str:
+    fields = {("cells_trvj", "alpha"): ("cdr3a", "trav", "traj"), ("cells_trvj", "beta"): ("cdr3b", "trbv", "trbj"), ("cells_ctgene", "alpha"): ("cdr3a", "ctgenea"), ("cells_ctgene", "beta"): ("cdr3b", "ctgeneb")}
+    n = lambda c: f"len(string_split({c}, ';'))"
+    return " UNION ALL ".join(f"SELECT '{t}' AS source, '{chain}' AS chain, cell_id FROM {t} WHERE {' OR '.join(f'{n(c)} <> {n(cols[0])}' for c in cols[1:])}" for (t, chain), cols in fields.items())
+
+
 def unique_alpha(spark: SparkSession, d: str) -> DataFrame:
     return unique_alphas(table(spark, d, "cluster_output"))
 
@@ -180,6 +193,33 @@ FROM (SELECT *, CASE WHEN length(run) - length(replace(run, '.', '')) <= 1 THEN
 """
 
 
+_MEASURES = ("measure 0", "measure 1", "measure 2")
+
+
+def plate_wide(spark: SparkSession, d: str) -> DataFrame:
+    wells = P.unpivot_plate(I.grid(spark, d)).filter("part = 'data'")
+    return P.wide_plate(wells, _MEASURES).select("plate", "well_id", *[F.col(name).alias(f"m{k}") for k, name in enumerate(_MEASURES)])
+
+
+PLATE_WIDE_SQL = f"SELECT plate, well_id, {', '.join(f'any_value(value) FILTER (measure = {k}) AS m{k}' for k in range(3))} FROM ({PLATE_SQL}) p WHERE part = 'data' GROUP BY 1, 2"
+
+
+def conc_masked(spark: SparkSession, d: str) -> DataFrame:
+    wide = plate_wide(spark, d).withColumn("limit_by", C.first_number("m1"))
+    return wide.select("plate", "well_id", P.masked_concentration("m0", "limit_by", 40.0).alias("clean"), P.masked_concentration("m0").alias("adjusted"))
+
+
+def _number_sql(c: str) -> str:
+    run = f"regexp_extract({c}, '[0-9.]+')"
+    return f"CASE WHEN length({run}) - length(replace({run}, '.', '')) <= 1 THEN try_cast(nullif({run}, '') AS DOUBLE) END"
+
+
+CONC_MASKED_SQL = f"""
+SELECT plate, well_id, CASE WHEN {_number_sql('m1')} > 40.0 THEN NULL ELSE a END AS clean, a AS adjusted
+FROM (SELECT *, CASE WHEN contains(m0, '>') THEN NULL WHEN contains(m0, '<') THEN 0.0::DOUBLE ELSE {_number_sql('m0')} END AS a FROM ({PLATE_WIDE_SQL}) w) x
+"""
+
+
 def plate_sort(spark: SparkSession, d: str) -> DataFrame:
     wells = P.unpivot_plate(I.grid(spark, d)).filter("part = 'data'").groupBy("plate", "well_id").agg(*[F.max(F.when(F.col("measure") == k, F.col("value"))).alias(f"data_{k}") for k in range(3)])
     return wells.filter(P.enough_cells(["data_0", "data_1", "data_2"], 3)).orderBy("data_0", "data_1", "data_2", "plate", "well_id")
@@ -215,6 +255,14 @@ def _fastq_files_sql(keys: str) -> str:
     return f"SELECT {keys}, string_agg(file_name, chr(9) ORDER BY sample_id, sample_number::VARCHAR, lane, read_number, file_name) AS files FROM ({FASTQ_SQL}) f GROUP BY {keys}"
 
 
+def fastq_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return paired_files(S.parse_fastq(I.fastq_names(spark, d)))
+
+
+_READS_SQL = ", ".join(f"max(file_name) FILTER (read_number = '{r}')" for r in ("R1", "R2", "I1", "I2"))
+FASTQ_PAIRS_SQL = f"SELECT sample_id, sample_number, lane, concat_ws(chr(9), {_READS_SQL}) AS files FROM ({FASTQ_SQL}) f GROUP BY 1, 2, 3"
+
+
 def md5_manifest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"))
 
@@ -237,6 +285,23 @@ def neglog10(spark: SparkSession, d: str) -> DataFrame:
     return enrich_json(spark, d).select("rank", F.round(C.neg_log10("p_value"), 9).alias("neg_log10_p"))
 
 
+def enrich_union(spark: SparkSession, d: str) -> DataFrame:
+    """The results of several libraries under each other."""
+    return union_files([S.enrichment_rows(I.responses(spark, d), "body", name) for name in ("lib", "other")]).select("library", "rank", "term", "p_value")
+
+
+def enrich_chart(spark: SparkSession, d: str) -> DataFrame:
+    return S.chart_values(enrich_json(spark, d)).select("term", F.round("neg_log10_p", 9).alias("neg_log10_p"))
+
+
+def input_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any record has an alpha, and any a count of its own."""
+    return table(spark, d, "chain_records").agg(F.bool_or(F.coalesce(C.is_residues(F.upper(C.given("alpha"))), F.lit(False))).alias("has_alpha"), F.bool_or(F.col("counts").isNotNull()).alias("has_counts"))
+
+
+INPUT_FLAGS_SQL = f"SELECT bool_or(coalesce(regexp_full_match(upper(trim(alpha, ' ')), '[{C.RESIDUES}]+') AND upper(trim(alpha, ' ')) <> 'NA', false)) AS has_alpha, bool_or(counts IS NOT NULL) AS has_counts FROM chain_records"
+
+
 def hla_mark(spark: SparkSession, d: str) -> DataFrame:
     folded = I.hla(spark, d)
     return folded.select("subject", C.mark_hla(F.col("dpa1"), F.substring_index("dpa1", "/", 1)).alias("dpa1"))
@@ -267,6 +332,13 @@ QUERIES = {
     "split_cdr3_trvj_beta": partial(split_trvj, chain="beta"),
     "split_cdr3_ctgene": split_ctgene,
     "split_cdr3_ragged": split_ragged,
+    "split_ragged_all": split_ragged_all,
+    "plate_wide": plate_wide,
+    "conc_masked": conc_masked,
+    "fastq_pairs": fastq_pairs,
+    "enrich_union": enrich_union,
+    "enrich_chart": enrich_chart,
+    "input_flags": input_flags,
     "unique_alpha": unique_alpha,
     "align_groups": align_groups,
     "scores_left_join": scores_left_join,
@@ -299,6 +371,13 @@ SQL = {
     "split_cdr3_trvj_beta": _split_sql("cells_trvj", ("cdr3b", "trbv", "trbj"), ("cell_id", "cdr3a", "trav", "traj", "sample_id")),
     "split_cdr3_ctgene": _split_sql("cells_ctgene", ("cdr3a", "ctgenea"), ("cell_id", "cdr3b", "ctgeneb", "sample_id")),
     "split_cdr3_ragged": "SELECT cell_id FROM cells_trvj WHERE len(string_split(cdr3b, ';')) <> len(string_split(trbv, ';')) OR len(string_split(cdr3b, ';')) <> len(string_split(trbj, ';'))",
+    "split_ragged_all": _ragged_sql(),
+    "plate_wide": PLATE_WIDE_SQL,
+    "conc_masked": CONC_MASKED_SQL,
+    "fastq_pairs": FASTQ_PAIRS_SQL,
+    "enrich_union": f"SELECT n AS library, rank, term, p_value FROM ({ENRICH_SQL}) e, (VALUES ('lib'), ('other')) l(n)",
+    "enrich_chart": f"SELECT term, CASE WHEN p_value > 0 THEN round(-log10(p_value), 9) ELSE 0.0 END::DOUBLE AS neg_log10_p FROM (SELECT * FROM ({ENRICH_SQL}) e ORDER BY rank LIMIT 10) t",
+    "input_flags": INPUT_FLAGS_SQL,
     "unique_alpha": UNIQUE_ALPHA_SQL,
     "align_groups": ALIGN_GROUPS_SQL,
     "scores_left_join": SCORES_SQL,
