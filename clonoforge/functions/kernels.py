@@ -121,22 +121,28 @@ def k3_layers(codes: np.ndarray, most: int = 30) -> np.ndarray:
     return out
 
 
-def k3_pairs(some: np.ndarray, many: np.ndarray, most: int = 30, cells: int = 2_000_000) -> np.ndarray:
-    """The similarity kernel of the k-th row of `some` with the k-th of `many`, each set of one length."""
+def k3_pairs(some: np.ndarray, many: np.ndarray, most: int = 30, cells: int = 50_000) -> np.ndarray:
+    """The similarity kernel of the k-th row of `some` with the k-th of `many`, each set of one length.
+
+    Pairs lie along the last axis, `cells` numbers at a time, so that a slice stays in the cache.
+    """
     n, m = some.shape[1], many.shape[1]
-    k1 = kernel_k1().astype(np.float64)
-    out = np.zeros(len(some))
     if n > most and m > most:
         return np.array([k3_matrix(a, b[None, :], most)[0] for a, b in zip(some, many, strict=True)])
+    k1 = kernel_k1().astype(np.float64).ravel()
+    out = np.zeros(len(some))
     step = max(1, cells // max(1, m))
     for first in range(0, len(some), step):
-        own, other = some[first : first + step], many[first : first + step]
-        before = np.zeros((len(own), m))
+        own = some[first : first + step].T.astype(np.intp) * _N
+        other = np.ascontiguousarray(many[first : first + step].T.astype(np.intp))
+        before, now, at = np.zeros(other.shape), np.empty(other.shape), np.empty(other.shape, np.intp)
         for i in range(n):
-            now = k1[own[:, i][:, None], other]
-            now[:, 1:] *= 1 + before[:, :-1]
-            out[first : first + step] += now.sum(axis=1)
-            before = now
+            np.add(other, own[i], out=at)
+            np.take(k1, at, out=now, mode="clip")
+            before += 1
+            now[1:] *= before[:-1]
+            out[first : first + step] += now.sum(axis=0)
+            before, now = now, before
     return out
 
 

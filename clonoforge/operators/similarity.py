@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonoforge.functions.columns import RESIDUES, is_residues, trim_flanks
+from clonoforge.functions.columns import is_residues, trim_flanks
 from clonoforge.functions.kernels import k3_layers, k3_pairs
 from clonoforge.functions.matrices import encode, kernel_k1
 from clonoforge.session import cut, spread
 
 THRESHOLD = 0.97
 #: Database sequences that are broadcast at once.
-BLOCK = 200_000
+BLOCK = 50_000
 
 
 def usable(df: DataFrame, column: str, trimmed: bool = True, strict: bool = False) -> DataFrame:
@@ -38,30 +38,55 @@ def _by_length(sequences: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.array(own, object), encode(own, n)) for n, own in groups.items()]
 
 
+#: Directions kept of the residues' space for runs of each length; one for longer runs.
+DIRECTIONS = {1: 20, 2: 8, 3: 4, 4: 3, 5: 2, 6: 2}
+
+
+def _directions() -> np.ndarray:
+    """Residues as vectors whose products are k1, the most important directions first."""
+    values, vectors = np.linalg.eigh(kernel_k1().astype(float))
+    if values.min() < 0:
+        raise ValueError("the residue kernel is no inner product")
+    return (vectors * np.sqrt(values))[:, ::-1]
+
+
 class Side:
     """Sequences of one length with what bounds their scores.
 
-    The kernel is a sum over run lengths k of kernels that are inner products each, so by
-    Cauchy and Schwarz k3(a, b) <= k3_1(a, b) + sum over k > 1 of sqrt(k3_k(a, a) k3_k(b, b)), and
-    k3_1 depends only on how often each residue occurs. Both parts are products of
-    small matrices: the bound of all pairs costs a multiplication, the kernel of few of them is needed.
+    The kernel is a sum over run lengths k of kernels, each an inner product in the k-fold product of
+    the residues' space. Of each only a few directions are kept; what two sequences have
+    in the others is by Cauchy and Schwarz at most the product of its lengths. Both
+    parts are one product of small matrices: the bound of all pairs costs a multiplication, and
+    only pairs whose bound is above the threshold are compared.
     """
 
-    def __init__(self, names: np.ndarray, codes: np.ndarray):
+    def __init__(self, names: np.ndarray, codes: np.ndarray, rows: int = 4096):
         self.names, self.codes = names, codes
+        done = [self._bounds(codes[first : first + rows]) for first in range(0, len(codes), rows)]
+        self.norms, self.features = np.concatenate([n for n, _ in done]), np.concatenate([f for _, f in done])
+
+    def _bounds(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         layers = k3_layers(codes)
-        self.norms = np.sqrt(layers.sum(axis=1))
-        counts = np.stack([(codes == r).sum(axis=1) for r in range(len(RESIDUES))], axis=1).astype(float)
-        self.left = np.hstack([counts @ kernel_k1().astype(float), np.sqrt(layers[:, 1:])]) / self.norms[:, None]
-        self.right = np.hstack([counts, np.sqrt(layers[:, 1:])]) / self.norms[:, None]
+        norms = np.sqrt(layers.sum(axis=1))
+        space, parts, self.ends = _directions(), [], [0]
+        for k in range(1, layers.shape[1] + 1):
+            own = space[:, : DIRECTIONS.get(k, 1)][codes]
+            runs = own
+            for j in range(1, k):
+                runs = (runs[:, :-1, :, None] * own[:, j:, None, :]).reshape(len(codes), codes.shape[1] - j, -1)
+            kept = runs.sum(axis=1)
+            rest = np.sqrt(np.maximum(layers[:, k - 1] - (kept**2).sum(axis=1), 0))
+            parts += [kept, rest[:, None]]
+            self.ends.append(self.ends[-1] + kept.shape[1] + 1)
+        return norms, (np.hstack(parts) / norms[:, None]).astype(np.float32)
 
     def matches(self, other: Side, threshold: float, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(own places, other's places, scores) above the threshold, in slices of about `cells` pairs."""
         step = max(1, cells // max(1, len(other.names)))
-        width = min(self.left.shape[1], other.right.shape[1])  # no run is longer than the shorter sequence
-        mine, theirs = self.left[:, :width], other.right[:, :width].T
+        width = min(self.ends[-1], other.ends[-1])  # no run is longer than the shorter sequence
+        mine, theirs = self.features[:, :width], other.features[:, :width].T
         for first in range(0, len(self.names), step):
-            x, y = np.nonzero(mine[first : first + step] @ theirs > threshold - 1e-9)
+            x, y = np.nonzero(mine[first : first + step] @ theirs > threshold - 1e-4)  # single precision
             x += first
             for begin in range(0, len(x), 100_000):
                 i, j = x[begin : begin + 100_000], y[begin : begin + 100_000]

@@ -102,7 +102,7 @@ def test_kernel():
     many = ["".join(rng.choice(list(C.RESIDUES), 12)) for _ in range(4)]
     want = np.array([[plain_k3(a, b) for b in many] for a in some])
     x, y = np.repeat(np.arange(3), 4), np.tile(np.arange(4), 3)
-    assert np.allclose(k3_pairs(encode(some, 9)[x], encode(many, 12)[y], cells=20), want.ravel())
+    assert np.allclose(k3_pairs(encode(some, 9)[x], encode(many, 12)[y], cells=26), want.ravel())
     assert np.allclose(k3_layers(encode(many, 12)).sum(axis=1), [plain_k3(b, b) for b in many])
     long = ["".join(rng.choice(list(C.RESIDUES), 33)) for _ in range(2)]
     assert np.allclose(k3_matrix(encode(long, 33)[0], encode(long, 33)), [plain_k3(long[0], x) for x in long])
