@@ -307,6 +307,10 @@ def test_group_background_uses_the_whole_pool(spark, monkeypatch):
     monkeypatch.setattr(alignment.PoolScores, "KEPT", 5)
     drawn = np.array([[0, 3, 7, 11], [19, 2, 4, 5]])
     assert alignment.PoolScores(pool).means(drawn).tolist() == [alignment.mean_score([pool[i] for i in row]) for row in drawn]
+    for k in (3, 17):  # one by one, and as products of matrices
+        many = alignment.samples_without_replacement(40, k, 5, 30)
+        twice = alignment.PoolScores([*pool, *(x[::-1] for x in pool)], kept=40)
+        assert twice.means(many).tolist() == [alignment.mean_score([(pool + [x[::-1] for x in pool])[i] for i in row]) for row in many]
     rows = spark.createDataFrame([("p", k // 4, pool[k], "CASSF") for k in range(20)], "pattern string, cluster_index long, tcra string, tcrb string")
     monkeypatch.setattr(analysis, "table", lambda *_: rows)
     asked = {}
@@ -398,7 +402,10 @@ def test_samples_without_replacement():
     drawn = alignment.samples_without_replacement(9, 6, 77, 400)
     assert drawn.shape == (400, 6) and all(len(set(row)) == 6 and set(row) <= set(range(9)) for row in drawn.tolist())
     assert abs(np.bincount(drawn.ravel(), minlength=9) - 400 * 6 / 9).max() < 60
-    assert (alignment.samples_without_replacement(9, 6, 77, 3) == drawn[:3]).all()
+    assert (alignment.samples_without_replacement(9, 6, 77, 3) == drawn[:3]).all() and (alignment.samples_without_replacement(9, 6, 77, 400, few=0) == drawn).all()
+    groups = [["CASSF", "CAWSSF", "CAF"], ["CASSF"], [], ["CASSLF", "CASSWF"]]
+    means = alignment.mean_scores(groups, pairs=2)
+    assert np.isnan(means[1:3]).all() and [means[0], means[3]] == [alignment.mean_score(groups[0]), alignment.mean_score(groups[3])]
 
 
 def test_repertoire_counts_are_not_rounded(spark):
