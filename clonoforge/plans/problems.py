@@ -44,10 +44,13 @@ WITH cells AS (
 ), placed AS (
   SELECT *, 1 + sum(CASE WHEN is_mark THEN 1 WHEN before IS NOT NULL AND NOT regexp_full_match(before, '[;；,，、|&+_/]') THEN 1 ELSE 0 END) OVER (PARTITION BY cell ORDER BY k) AS pos FROM marked
 ), items AS (
-  SELECT cell, cell_id, field, pos::INTEGER AS pos, trim(token, E' \t\r\n "''“”‘’`[]{}()') AS item FROM placed WHERE NOT is_mark
+  SELECT cell, cell_id, field, pos::INTEGER AS pos, trim(token, E' \t\r\n "''“”‘’`[]{}()') AS item,
+    CASE WHEN regexp_full_match(token, '"[^"]*"|''[^'']*''|“[^”]*”|‘[^’]*’|`[^`]*`') OR token = trim(token, E'"''“”‘’`[]{}()') THEN NULL WHEN regexp_matches(token, '["''“”‘’`]$|^["''“‘`]') THEN 'quote' ELSE 'bracket' END AS error
+  FROM placed WHERE NOT is_mark
 ), given AS (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM items WHERE upper(item) NOT IN ('', 'NA', 'N/A', 'NAN', 'NULL', 'NONE'))
 """
 P1_FOUND_SQL = _PLACES_SQL + "SELECT cell_id, field, pos, item FROM given WHERE n >= 2"
+P1_VALUES_SQL = _PLACES_SQL + "SELECT cell_id, field, pos, item, error FROM given"
 
 
 def p4_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -131,4 +134,4 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_loaded": p5_loaded,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p4_totals": P4_TOTALS_SQL, "p5_found": P5_FOUND_SQL, "p5_loaded": P5_LOADED_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_values": P1_VALUES_SQL, "p4_totals": P4_TOTALS_SQL, "p5_found": P5_FOUND_SQL, "p5_loaded": P5_LOADED_SQL}
