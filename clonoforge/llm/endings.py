@@ -138,7 +138,11 @@ def _prose(text: str) -> str | None:
     if _FUNCTION_WORD.search(paragraph):
         return "sentence"
     if not re.fullmatch(r"[\w ,;:'’()%/.!?*&\[\]\"-]+", line) or re.search(r"[=(){}\[\]]", line):
-        return "odd"
+        if text.endswith(("\n", "\r")):
+            return "odd"  # as code wrapped like prose may end
+        # Rows of data or code among prose: what the last line leaves open counts as in code.
+        stack, open_, _, _ = _scan(line, "brace")
+        return open_ or ("bracket" if stack else "odd")
     if text.endswith("\n"):
         return "newline"
     if len(paragraph.split()) <= 6 and len(lines) - start == 1 and (start == 0 or not lines[start - 1].strip()):

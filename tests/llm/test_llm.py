@@ -358,6 +358,12 @@ def test_a_doubtful_end_counts_at_a_limit_only(spark):
     assert judged[5000].evidence == "short" and not judged[5000].is_cut
 
 
+def test_rows_of_data_among_prose():
+    text = "# Notes\n\nSome words stand here. And some more of them. They end.\n\n" + "".join(f'    ("ROW_{k}", {k * 37}, "name{k}"),\n' for k in range(9))
+    assert endings.ending(text + '    ("ROW_9", 20') == "bracket" and endings.ending(text + '    ("ROW_9", 20, "na') == "string"
+    assert endings.ending(text + '    ("ROW_9",\n') not in endings.UNFINISHED
+
+
 def test_comment_behind_code():
     code = "import os\n\ndef f(y):\n    return y\n\nx = f(y)  # "
     assert endings.ending(code + "taken from the") == "sentence" and endings.ending("int x = 1; // because of the") == "sentence"
