@@ -12,7 +12,11 @@ from clonoforge.session import checkpoint_dir
 
 
 def stream_table(spark: SparkSession, folder: str, pattern: str, schema: StructType) -> DataFrame:
-    """A folder of Parquet files as an unbounded table; new files are new rows."""
+    """The files of `pattern` in a folder as an unbounded table, or all Parquet files of the folder that `pattern` names; new files are new rows."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    system = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(named) and system.getFileStatus(named).isDirectory():
+        folder, pattern = f"{folder}/{pattern}", "*.parquet"
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
 
 
@@ -22,7 +26,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     at = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, size: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clonoforge.functions.matrices import blosum62
 from clonoforge.operators import alignment, cells, distances, enrichment, graph, motifs, pipeline, scoring, similarity
 from clonoforge.operators.distances import distance_pairs, edit_cutoff, hamming_pairs
+from clonoforge.plans import pipelines
 from clonoforge.sources import chains, files, plates
 from tests.test_functions import plain_distance
 
@@ -425,3 +426,10 @@ def test_checkpoint_folder_of_a_cluster_must_be_named(monkeypatch):
     spark.sparkContext.master = "spark://host:7077"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(spark)
+
+
+def test_streamed_table_may_be_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([("c1", "CAAF;CAVF", "CASF"), ("c2", "CAAF", None)], "cell_id string, cdr3a string, cdr3b string")
+    rows.repartition(2).write.parquet(str(tmp_path / "cells_trvj.parquet"))
+    got = {tuple(r) for r in pipelines.stream_values(spark, str(tmp_path)).collect()}
+    assert got == {("cdr3a", 1, 2), ("cdr3a", 2, 1), ("cdr3b", 1, 1)}
