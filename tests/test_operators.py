@@ -433,3 +433,34 @@ def test_streamed_table_may_be_a_folder(spark, tmp_path):
     rows.repartition(2).write.parquet(str(tmp_path / "cells_trvj.parquet"))
     got = {tuple(r) for r in pipelines.stream_values(spark, str(tmp_path)).collect()}
     assert got == {("cdr3a", 1, 2), ("cdr3a", 2, 1), ("cdr3b", 1, 1)}
+
+
+def _shipped_members(monkeypatch) -> list[int]:
+    """Counts, once they are read, how many members of lists go to tasks."""
+    seen, plain = [], distances.spread
+
+    def counted(df, *columns):
+        seen.append(df.agg(F.coalesce(F.sum(F.size("m1") + F.size("m2")), F.lit(0))).first()[0])
+        return plain(df, *columns)
+
+    monkeypatch.setattr(distances, "spread", counted)
+    return seen
+
+
+def _random_chains(n: int, seed: int) -> list[str]:
+    draw = np.random.default_rng(seed)
+    return ["C" + "".join(draw.choice(list("ADEGHILNPQRSTVWY"), draw.integers(9, 15))) + "F" for _ in range(n)]
+
+
+def _far_genes(spark, n: int):
+    return spark.createDataFrame([(f"V{k}*01", x * 7, x * 7, x * 6) for k, x in enumerate("AWDGKF"[:n])], "gene string, cdr1 string, cdr2 string, pmhc string")
+
+
+def test_beta_alleles_far_apart_never_meet(spark, monkeypatch):
+    rows = [(f"{b}|V{k % 5}*01", b, f"V{k % 5}*01") for k, b in enumerate(x for s in _random_chains(60, 1) for x in (s, s[:5] + "A" + s[6:], s[:5] + s[6:]))]
+    vertices = spark.createDataFrame(rows, "v string, beta string, vb string").distinct()
+    seen, held = _shipped_members(monkeypatch), vertices.count()
+    got = {(r.i, r.j): r.d for r in distances.joint_pairs(vertices, 24, genes=_far_genes(spark, 5), cdr3_weight=3).collect()}
+    assert sum(seen) <= 2 * held
+    want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and x[2] == y[2] and (d := 3 * plain_distance(x[1], y[1])) <= 24}
+    assert got == want
