@@ -464,3 +464,14 @@ def test_beta_alleles_far_apart_never_meet(spark, monkeypatch):
     assert sum(seen) <= 2 * held
     want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and x[2] == y[2] and (d := 3 * plain_distance(x[1], y[1])) <= 24}
     assert got == want
+
+
+def test_two_chains_and_alleles_ship_few(spark, monkeypatch):
+    near = [(x, y) for s, t in zip(_random_chains(40, 2), _random_chains(40, 3), strict=True) for x, y in ((s, t), (s[:5] + "A" + s[6:], t), (s, t[:6] + t[7:]))]
+    rows = [(f"{b}|{a}|V{k % 3}*01|V{k % 2}*01", b, a, f"V{k % 3}*01", f"V{k % 2}*01") for p, (b, a) in enumerate(near) for k in (p // 3, p)]
+    vertices = spark.createDataFrame(rows, "v string, beta string, alpha string, vb string, va string").distinct()
+    seen, held = _shipped_members(monkeypatch), vertices.count()
+    got = {(r.i, r.j): r.d for r in distances.joint_pairs(vertices, 24, True, _far_genes(spark, 3), cdr3_weight=3).collect()}
+    assert sum(seen) <= 2 * held
+    want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and x[3:] == y[3:] and (d := 3 * (plain_distance(x[1], y[1]) + plain_distance(x[2], y[2]))) <= 24}
+    assert got == want and want
