@@ -475,3 +475,14 @@ def test_two_chains_and_alleles_ship_few(spark, monkeypatch):
     assert sum(seen) <= 2 * held
     want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and x[3:] == y[3:] and (d := 3 * (plain_distance(x[1], y[1]) + plain_distance(x[2], y[2]))) <= 24}
     assert got == want and want
+
+
+def test_two_chains_meet_by_the_nearer_one(spark, monkeypatch):
+    near = [(x, y) for s, t in zip(_random_chains(60, 4), _random_chains(60, 5), strict=True) for x, y in ((s, t), (s[:5] + "A" + s[6:], t), (s, t[:6] + t[7:]), (s[:5] + s[6:], t[:6] + "W" + t[7:]))]
+    rows = sorted({(f"{b}|{a}", b, a) for b, a in near})
+    vertices = spark.createDataFrame(rows, "v string, beta string, alpha string")
+    seen = _shipped_members(monkeypatch)
+    got = distances.joint_pairs(vertices, 12, True, tile=3).collect()
+    assert sum(seen) <= 16 * len(rows)
+    want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and (d := plain_distance(x[1], y[1]) + plain_distance(x[2], y[2])) <= 12}
+    assert len(got) == len(want) and {(r.i, r.j): r.d for r in got} == want
