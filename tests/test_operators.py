@@ -457,13 +457,13 @@ def _far_genes(spark, n: int):
 
 
 def test_beta_alleles_far_apart_never_meet(spark, monkeypatch):
-    rows = [(f"{b}|V{k % 5}*01", b, f"V{k % 5}*01") for k, b in enumerate(x for s in _random_chains(60, 1) for x in (s, s[:5] + "A" + s[6:], s[:5] + s[6:]))]
+    rows = [(f"{b}|V{k // 3 % 5}*01", b, f"V{k // 3 % 5}*01") for k, b in enumerate(x for s in _random_chains(60, 1) for x in (s, s[:5] + "A" + s[6:], s[:5] + s[6:]))]
     vertices = spark.createDataFrame(rows, "v string, beta string, vb string").distinct()
     seen, held = _shipped_members(monkeypatch), vertices.count()
     got = {(r.i, r.j): r.d for r in distances.joint_pairs(vertices, 24, genes=_far_genes(spark, 5), cdr3_weight=3).collect()}
     assert sum(seen) <= 2 * held
     want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and x[2] == y[2] and (d := 3 * plain_distance(x[1], y[1])) <= 24}
-    assert got == want
+    assert got == want and want
 
 
 def test_two_chains_and_alleles_ship_few(spark, monkeypatch):
@@ -486,3 +486,16 @@ def test_two_chains_meet_by_the_nearer_one(spark, monkeypatch):
     assert sum(seen) <= 16 * len(rows)
     want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and (d := plain_distance(x[1], y[1]) + plain_distance(x[2], y[2])) <= 12}
     assert len(got) == len(want) and {(r.i, r.j): r.d for r in got} == want
+
+
+def test_joint_distance_query_ships_lists_of_near_alleles(spark, monkeypatch, tmp_path):
+    from clonoforge.plans import analysis
+
+    monkeypatch.setattr(analysis.I, "germline", lambda *_: _far_genes(spark, 5))
+    own = [(b, f"V{k // 3 % 5}") for k, b in enumerate(x for s in _random_chains(60, 1) for x in (s, s[:5] + "A" + s[6:], s[:5] + s[6:]))]
+    monkeypatch.setattr(analysis.I, "chains", lambda *_: spark.createDataFrame([*own, own[0]], "beta string, v_gene string"))
+    seen = _shipped_members(monkeypatch)
+    got = {(r.a, r.v1, r.b, r.v2): r.d for r in analysis.joint_distance(spark, str(tmp_path)).collect()}
+    assert sum(seen) <= 2 * len(own)
+    named = sorted({(b, f"{v}*01") for b, v in own})
+    assert got == {(*x, *y): d for x in named for y in named if x < y and x[1] == y[1] and (d := 3 * plain_distance(x[0], y[0])) <= 36} and got
