@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,17 +32,13 @@ def usable(df: DataFrame, column: str, trimmed: bool = True, strict: bool = Fals
     return out.filter(is_residues("sequence"))
 
 
-def _by_length(sequences: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    groups = defaultdict(list)
-    for s in sequences:
-        groups[len(s)].append(s)
-    return [(np.array(own, object), encode(own, n)) for n, own in groups.items()]
-
-
-#: Directions kept of the residues' space for runs of each length; one for longer runs.
-DIRECTIONS = {1: 20, 2: 8, 3: 4, 4: 3, 5: 2, 6: 2}
+#: Directions kept of the residues' space for each residue of runs of each length; of longer runs those in which at most one residue leaves the first direction.
+DIRECTIONS = {1: 20, 2: 10, 3: 5}
+#: Directions that profiles keep of the products of runs, and sequences they are fitted to.
+KEPT, FITTED = 96, 2_000
 
 
+@lru_cache
 def _directions() -> np.ndarray:
     """Residues as vectors whose products are k1, the most important directions first."""
     values, vectors = np.linalg.eigh(kernel_k1().astype(float))
@@ -50,81 +47,141 @@ def _directions() -> np.ndarray:
     return (vectors * np.sqrt(values))[:, ::-1]
 
 
-class Side:
-    """Sequences of one length with what bounds their scores.
+def _bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms and features of encoded sequences of one length; products of features are no less than scores.
 
     The kernel is a sum over run lengths k of kernels, each an inner product in the k-fold product of
-    the residues' space. Of each only a few directions are kept; what two sequences have
-    in the others is by Cauchy and Schwarz at most the product of its lengths. Both
-    parts are one product of small matrices: the bound of all pairs costs a multiplication, and
-    only pairs whose bound is above the threshold are compared.
+    the residues' space. Of each only a part is kept; what two sequences have in the rest is by
+    Cauchy and Schwarz at most the product of its lengths. The first direction holds most of
+    a run, so of long runs the products with one residue in another direction are kept.
     """
-
-    def __init__(self, names: np.ndarray, codes: np.ndarray, rows: int = 4096):
-        self.names, self.codes = names, codes
-        done = [self._bounds(codes[first : first + rows]) for first in range(0, len(codes), rows)]
-        self.norms, self.features = np.concatenate([n for n, _ in done]), np.concatenate([f for _, f in done])
-
-    def _bounds(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        layers = k3_layers(codes)
-        norms = np.sqrt(layers.sum(axis=1))
-        space, parts, self.ends = _directions(), [], [0]
-        for k in range(1, layers.shape[1] + 1):
-            own = space[:, : DIRECTIONS.get(k, 1)][codes]
-            runs = own
+    layers = k3_layers(codes)
+    norms = np.sqrt(layers.sum(axis=1))
+    own, parts = _directions()[codes], []
+    turned = own[:, :, 1:] / own[:, :, :1]
+    for k in range(1, layers.shape[1] + 1):
+        m = codes.shape[1] - k + 1
+        if k in DIRECTIONS:
+            some = own[:, :, : DIRECTIONS[k]]
+            runs = some
             for j in range(1, k):
-                runs = (runs[:, :-1, :, None] * own[:, j:, None, :]).reshape(len(codes), codes.shape[1] - j, -1)
+                runs = (runs[:, :-1, :, None] * some[:, j:, None, :]).reshape(len(codes), codes.shape[1] - j, -1)
             kept = runs.sum(axis=1)
-            rest = np.sqrt(np.maximum(layers[:, k - 1] - (kept**2).sum(axis=1), 0))
-            parts += [kept, rest[:, None]]
-            self.ends.append(self.ends[-1] + kept.shape[1] + 1)
-        return norms, (np.hstack(parts) / norms[:, None]).astype(np.float32)
+        else:
+            first = np.prod([own[:, j : j + m, 0] for j in range(k)], axis=0)
+            kept = np.hstack([first.sum(axis=1)[:, None], *[(first[:, None, :] @ turned[:, p : p + m])[:, 0] for p in range(k)]])
+        rest = np.sqrt(np.maximum(layers[:, k - 1] - (kept**2).sum(axis=1), 0))
+        parts += [kept, rest[:, None]]
+    return norms, (np.hstack(parts) / norms[:, None]).astype(np.float32)
+
+
+def _lengths(sequences: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and codes of the sequences of each length, at most 1024 at a time."""
+    lengths = np.array([len(s) for s in sequences])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        for begin in range(0, len(at), 1024):
+            some = at[begin : begin + 1024]
+            yield some, encode([sequences[i] for i in some], int(n))
+
+
+def _basis(sequences: list[str]) -> np.ndarray:
+    """The directions in which the features of some sequences lie for the most part, as columns."""
+    held = [_bounds(codes)[1] for _, codes in _lengths(sequences)]
+    width = max((f.shape[1] for f in held), default=1)
+    features = np.concatenate([np.zeros((0, width), np.float32), *[np.pad(f, ((0, 0), (0, width - f.shape[1]))) for f in held]])
+    values, vectors = np.linalg.eigh((features @ features.T).astype(float))
+    largest = [i for i in np.argsort(-values)[:KEPT] if values[i] > 1e-6]
+    return np.linalg.qr(features.T.astype(float) @ (vectors[:, largest] / np.sqrt(values[largest])))[0].astype(np.float32)
+
+
+def _profiles(sequences: list[str], basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms, and the features along the basis with the length of what lies beside it: products still bound scores."""
+    norms, out = np.zeros(len(sequences)), np.zeros((len(sequences), basis.shape[1] + 1), np.float32)
+    for at, codes in _lengths(sequences):
+        norms[at], features = _bounds(codes)
+        width = min(features.shape[1], len(basis))
+        along = features[:, :width] @ basis[:width]
+        out[at, :-1], out[at, -1] = along, np.sqrt(np.maximum((features.astype(float) ** 2).sum(axis=1) - (along.astype(float) ** 2).sum(axis=1), 0) + 1e-6)
+    return norms, out
+
+
+def _profiled(df: DataFrame, basis: Broadcast) -> DataFrame:
+    """(sequence, norm, profile) of the sequences of df."""
+    schema = T.StructType([T.StructField("sequence", T.StringType()), T.StructField("norm", T.DoubleType()), T.StructField("profile", T.BinaryType())])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            norms, profiles = _profiles(batch.column(0).to_pylist(), basis.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(norms, pa.float64()), pa.array([x.tobytes() for x in profiles], pa.binary())], names=schema.names)
+
+    return df.select("sequence").mapInArrow(run, schema)
+
+
+class Side:
+    """Sequences with their norms, profiles and codes."""
+
+    def __init__(self, names: list[str], norms: np.ndarray, profiles: np.ndarray):
+        self.names, self.norms, self.profiles = np.array(names, object), norms, profiles
+        self.lengths = np.array([len(s) for s in names], int)
+        longest = int(self.lengths.max(initial=1))
+        self.codes = encode([s.ljust(longest, ".") for s in names], longest)
 
     def matches(self, other: Side, threshold: float, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(own places, other's places, scores) above the threshold, in slices of about `cells` pairs."""
+        """(own places, other's places, scores) above the threshold, in slices of about `cells` pairs.
+
+        The bound of all pairs is one product of small matrices; only pairs whose bound is above
+        the threshold are compared.
+        """
         step = max(1, cells // max(1, len(other.names)))
-        width = min(self.ends[-1], other.ends[-1])  # no run is longer than the shorter sequence
-        mine, theirs = self.features[:, :width], other.features[:, :width].T
+        theirs = np.ascontiguousarray(other.profiles.T)
         for first in range(0, len(self.names), step):
-            x, y = np.nonzero(mine[first : first + step] @ theirs > threshold - 1e-4)  # single precision
+            x, y = np.nonzero(self.profiles[first : first + step] @ theirs > threshold - 1e-4)  # single precision
             x += first
-            for begin in range(0, len(x), 100_000):
-                i, j = x[begin : begin + 100_000], y[begin : begin + 100_000]
-                score = k3_pairs(self.codes[i], other.codes[j]) / (self.norms[i] * other.norms[j])
-                above = score > threshold
-                yield i[above], j[above], score[above]
+            shape = self.lengths[x] * (1 + other.lengths.max(initial=0)) + other.lengths[y]
+            order = np.argsort(shape, kind="stable")
+            ends = np.flatnonzero(np.diff(shape[order], append=-1)) + 1
+            for begin, end in zip(np.concatenate([[0], ends[:-1]]).astype(int), ends, strict=len(ends) > 0):
+                for at in range(begin, end, 100_000):
+                    i, j = x[order[at : min(at + 100_000, end)]], y[order[at : min(at + 100_000, end)]]
+                    score = k3_pairs(self.codes[i, : self.lengths[i[0]]], other.codes[j, : other.lengths[j[0]]]) / (self.norms[i] * other.norms[j])
+                    above = score > threshold
+                    yield i[above], j[above], score[above]
 
 
 def similar_pairs(inputs: DataFrame, database: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(sequence, match, score): distinct input and database sequences scoring above the threshold.
 
     score = k3(a, b) / sqrt(k3(a, a) k3(b, b)), strictly above the threshold. Both sides
-    (column sequence) are made distinct. The database goes to the workers in blocks of at most
-    about `block` sequences, one scan of the inputs each, stored where there are several; the
+    (column sequence) are made distinct and profiled once; the directions of the profiles are
+    fitted to some of the database, which no score depends on. The database goes to the
+    workers in blocks of at most about `block` sequences, one scan of the inputs each; the
     inputs stay where they are. In a task most pairs fall to a bound of their score (`Side`)
     and only the rest are compared; only matches leave it.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold lies between 0 and 1")
     spark = inputs.sparkSession
-    left = spread(inputs.select("sequence").distinct())
-    right = cut(database.select("sequence").distinct())
+    distinct = cut(database.select("sequence").distinct())
+    basis = spark.sparkContext.broadcast(_basis([r.sequence for r in distinct.orderBy(F.xxhash64("sequence"), "sequence").limit(FITTED).collect()]))
+    right = cut(_profiled(spread(distinct), basis))
+    left = cut(_profiled(spread(inputs.select("sequence").distinct()), basis))
     blocks = max(1, -(-right.count() // block))
     schema = T.StructType([T.StructField("sequence", T.StringType()), T.StructField("match", T.StringType()), T.StructField("score", T.DoubleType())])
-    left = cut(left) if blocks > 1 else left
+    left = spread(left)
     out = None
     for k in range(blocks):
-        members = [r.sequence for r in right.filter(F.pmod(F.xxhash64("sequence"), F.lit(blocks)) == k).collect()]
-        shared = spark.sparkContext.broadcast(members)
+        members = right.filter(F.pmod(F.xxhash64("sequence"), F.lit(blocks)) == k).toArrow()
+        side = lambda t: (t.column(0).to_pylist(), t.column(1).to_numpy(), np.frombuffer(b"".join(t.column(2).to_pylist()), np.float32).reshape(t.num_rows, -1))
+        shared = spark.sparkContext.broadcast(side(members))
 
         def run(frames: Iterator[pa.RecordBatch], held=shared) -> Iterator[pa.RecordBatch]:
-            sides = [Side(names, codes) for names, codes in _by_length(held.value)]
+            other = Side(*held.value)
             for batch in frames:
-                for names, codes in _by_length(batch.column(0).to_pylist()):
-                    own = Side(names, codes)
-                    for other in sides:
-                        for i, j, score in own.matches(other, threshold):
-                            yield pa.RecordBatch.from_arrays([pa.array(names[i], pa.string()), pa.array(other.names[j], pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                if batch.num_rows and len(other.names):
+                    own = Side(*side(pa.Table.from_batches([batch])))
+                    for i, j, score in own.matches(other, threshold):
+                        yield pa.RecordBatch.from_arrays([pa.array(own.names[i], pa.string()), pa.array(other.names[j], pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
         found = left.mapInArrow(run, schema)
         if blocks > 1:

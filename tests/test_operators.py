@@ -499,3 +499,19 @@ def test_joint_distance_query_ships_lists_of_near_alleles(spark, monkeypatch, tm
     assert sum(seen) <= 2 * len(own)
     named = sorted({(b, f"{v}*01") for b, v in own})
     assert got == {(*x, *y): d for x in named for y in named if x < y and x[1] == y[1] and (d := 3 * plain_distance(x[0], y[0])) <= 36} and got
+
+
+def _compared(monkeypatch, own: list[str], base: list[str]) -> tuple[int, set]:
+    """How many pairs a search compares exactly, and its matches."""
+    seen, plain = [], similarity.k3_pairs
+    monkeypatch.setattr(similarity, "k3_pairs", lambda a, b: seen.append(len(a)) or plain(a, b))
+    basis = similarity._basis(base)
+    one, two = (similarity.Side(x, *similarity._profiles(x, basis)) for x in (own, base))
+    found = {(one.names[i], two.names[j]) for x, y, _ in one.matches(two, similarity.THRESHOLD) for i, j in zip(x, y, strict=True)}
+    return sum(seen), found
+
+
+def test_few_pairs_are_compared_exactly(monkeypatch):
+    pool = [f"AS{x[1:-1]}EQY" for x in _random_chains(300, 6)]
+    compared, found = _compared(monkeypatch, pool, pool)
+    assert compared < 0.05 * len(pool) ** 2 and {(x, x) for x in pool} <= found
