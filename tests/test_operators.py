@@ -515,3 +515,13 @@ def test_few_pairs_are_compared_exactly(monkeypatch):
     pool = [f"AS{x[1:-1]}EQY" for x in _random_chains(300, 6)]
     compared, found = _compared(monkeypatch, pool, pool)
     assert compared < 0.05 * len(pool) ** 2 and {(x, x) for x in pool} <= found
+
+
+def test_profiles_bound_scores():
+    pool = [x[1:-1] for x in _random_chains(60, 7)] + ["A" * 33, "AG" * 17, "W", "CA", "ASSLG"]
+    basis = similarity._basis(pool[:40])
+    norms, profiles = similarity._profiles(pool, basis)
+    for i, a in enumerate(pool):
+        for j, b in enumerate(pool):
+            score = similarity.k3_pairs(similarity.encode([a], len(a)), similarity.encode([b], len(b)))[0] / (norms[i] * norms[j])
+            assert profiles[i] @ profiles[j] >= score - 1e-4
