@@ -525,3 +525,9 @@ def test_profiles_bound_scores():
         for j, b in enumerate(pool):
             score = similarity.k3_pairs(similarity.encode([a], len(a)), similarity.encode([b], len(b)))[0] / (norms[i] * norms[j])
             assert profiles[i] @ profiles[j] >= score - 1e-4
+
+
+def test_unlike_database_is_hardly_compared(monkeypatch):
+    own, base = [f"AS{x[1:-1]}EQY" for x in _random_chains(100, 8)], [f"AS{x[1:-1]}EQY" for x in _random_chains(300, 9)]
+    compared, found = _compared(monkeypatch, own, [*base, own[0]])
+    assert compared < 0.05 * len(own) * len(base) and (own[0], own[0]) in found
