@@ -531,3 +531,11 @@ def test_unlike_database_is_hardly_compared(monkeypatch):
     own, base = [f"AS{x[1:-1]}EQY" for x in _random_chains(100, 8)], [f"AS{x[1:-1]}EQY" for x in _random_chains(300, 9)]
     compared, found = _compared(monkeypatch, own, [*base, own[0]])
     assert compared < 0.05 * len(own) * len(base) and (own[0], own[0]) in found
+
+
+def test_small_cutoffs_part_tiles_by_all_classes(spark, monkeypatch):
+    texts = sorted({x for s in _random_chains(60, 10) for x in (s, s[:5] + "G" + s[6:], s[:5] + s[6:], s[:4] + "V" + s[5:])})
+    monkeypatch.setattr(distances, "SIGNATURE_STEPS", (100, 10_000, 10_000, 10_000))
+    seen = _shipped_members(monkeypatch)
+    got = {(r.a, r.b): r.d for r in distance_pairs(spark.createDataFrame([(s,) for s in texts], "s string"), "s", 6).collect()}
+    assert sum(seen) and got == {(a, b): d for a in texts for b in texts if a < b and (d := plain_distance(a, b)) <= 6}
