@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clonoforge.functions import kernels
 from clonoforge.functions.matrices import blosum62
 from clonoforge.operators import alignment, cells, distances, enrichment, graph, motifs, pipeline, scoring, similarity
 from clonoforge.operators.distances import distance_pairs, edit_cutoff, hamming_pairs
@@ -539,3 +540,26 @@ def test_small_cutoffs_part_tiles_by_all_classes(spark, monkeypatch):
     seen = _shipped_members(monkeypatch)
     got = {(r.a, r.b): r.d for r in distance_pairs(spark.createDataFrame([(s,) for s in texts], "s string"), "s", 6).collect()}
     assert sum(seen) and got == {(a, b): d for a in texts for b in texts if a < b and (d := plain_distance(a, b)) <= 6}
+
+
+def _shares(groups: dict, pool: list[str], replicates: int) -> dict:
+    """The background's share of each group with a mean, every replicate aligned by itself."""
+    out = {}
+    for (pattern, index), own in groups.items():
+        drawn = alignment.samples_without_replacement(len(pool), len(own), alignment.seed_of(f"{pattern}|{index}"), replicates)
+        out[pattern, index] = sum(alignment.mean_score([pool[i] for i in row]) > alignment.mean_score(own) for row in drawn) / replicates
+    return out
+
+
+def test_scores_of_a_pool_are_made_once(spark, monkeypatch):
+    pool = sorted(set(_random_chains(300, 3)))
+    codes = [alignment.encode([s], len(s))[0] for s in pool[:20]]
+    for many in (s for s in pool if len(s) in (10, 15)):
+        assert (alignment.scores_against(codes, alignment.encode([many], len(many)))[:, 0] == [kernels.global_scores(x, alignment.encode([many], len(many)))[0] for x in codes]).all()
+    groups = {("p", 0): pool[:3], ("p", 1): pool[7:207], ("q", 2): pool[20:60]}
+    monkeypatch.setattr(alignment.PoolScores, "KEPT", 5)
+    # Where the pool's scores are stored no task aligns pairs of it again.
+    monkeypatch.setattr(alignment.PoolScores, "table", lambda self: self.known)
+    rows = spark.createDataFrame([(*k, v, None) for k, v in groups.items()], "pattern string, cluster_index long, alphas array<string>, betas array<string>")
+    got = {(r.pattern, r.cluster_index): r.tcra_v_background for r in alignment.score_groups(rows, pool, 20).collect()}
+    assert got == _shares(groups, pool, 20)
