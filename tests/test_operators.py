@@ -563,3 +563,16 @@ def test_scores_of_a_pool_are_made_once(spark, monkeypatch):
     rows = spark.createDataFrame([(*k, v, None) for k, v in groups.items()], "pattern string, cluster_index long, alphas array<string>, betas array<string>")
     got = {(r.pattern, r.cluster_index): r.tcra_v_background for r in alignment.score_groups(rows, pool, 20).collect()}
     assert got == _shares(groups, pool, 20)
+
+
+def test_group_background_aligns_no_betas(spark, monkeypatch):
+    from clonoforge.plans import analysis
+
+    pool = sorted(set(_random_chains(60, 4)))
+    rows = spark.createDataFrame([("p", k % 7, pool[k], pool[-k]) for k in range(60)] + [("p", 9, None, "CASSF")], "pattern string, cluster_index long, tcra string, tcrb string")
+    monkeypatch.setattr(analysis, "table", lambda *_: rows)
+    given, scored = [], alignment.score_groups
+    monkeypatch.setattr(analysis.A, "score_groups", lambda groups, *rest: given.append(groups) or scored(groups, *rest))
+    key = lambda df: {(r.pattern, r.cluster_index): str(r.tcra_v_background) for r in df.collect()}
+    assert key(analysis.QUERIES["group_background"](spark, "")) == key(analysis.QUERIES["group_alignment"](spark, "")) and len(pool) == 60
+    assert not any(r.betas for r in given[0].collect()) and any(r.betas for r in given[1].collect())
