@@ -576,3 +576,38 @@ def test_group_background_aligns_no_betas(spark, monkeypatch):
     key = lambda df: {(r.pattern, r.cluster_index): str(r.tcra_v_background) for r in df.collect()}
     assert key(analysis.QUERIES["group_background"](spark, "")) == key(analysis.QUERIES["group_alignment"](spark, "")) and len(pool) == 60
     assert not any(r.betas for r in given[0].collect()) and any(r.betas for r in given[1].collect())
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, monkeypatch):
+    from clonoforge import session
+
+    held, key = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size(), session._CLEANUP
+    before, files = spark.conf.get(key), held()
+    kept = session.cut(spark.range(1000).repartition(3).groupBy("id").count().repartition(2))
+    assert kept.count() == 1000 and spark.conf.get(key) == before
+    # Only the count's own shuffle may stay: data, index and checksum of each of its two tasks.
+    assert held() - files <= 6
+
+
+def test_few_values_are_not_counted_by_reference_value(monkeypatch):
+    weights = np.random.default_rng(5).random(60)
+    cases = [(k, own, older) for k in range(1, 25) for own in ([7] * k, list(range(k)), [0, 1] * (k // 2) + [2] * (k % 2)) for older in (False, True)]
+    counted = []
+    monkeypatch.setattr(scoring.np, "bincount", lambda *a, real=np.bincount, **k: counted.append(1) or real(*a, **k))
+    few = [scoring.composition_score(own, weights, 500, f"v:{k}", older) for k, own, older in cases]
+    assert not counted
+    monkeypatch.setattr(scoring, "FEW", 1)
+    assert few == [scoring.composition_score(own, weights, 500, f"v:{k}", older) for k, own, older in cases] and counted
+
+
+def test_hla_tests_move_members_only(spark, monkeypatch):
+    loci = [*scoring.LOCI]
+    hla = spark.createDataFrame([(f"s{k}", *[f"A*0{k % 3}/A*0{k % 4}" if n < 2 and k % 5 else "" for n in range(len(loci))]) for k in range(30)], ["subject", *loci])
+    members = spark.createDataFrame([(f"c{k % 4}", f"s{k * k % 30}") for k in range(60)], ["cid", "subject"])
+    key = lambda df: sorted(map(tuple, df.collect()))
+    tests = scoring.hla_tests(members, "cid", hla)
+    plan = tests._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not any("allele" in x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "cluster" in x)
+    small = key(tests)
+    monkeypatch.setattr(scoring, "MOST_TYPED", 1)
+    assert small and key(scoring.hla_tests(members, "cid", hla)) == small
