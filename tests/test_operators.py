@@ -611,3 +611,20 @@ def test_hla_tests_move_members_only(spark, monkeypatch):
     small = key(tests)
     monkeypatch.setattr(scoring, "MOST_TYPED", 1)
     assert small and key(scoring.hla_tests(members, "cid", hla)) == small
+
+
+def test_linkage_of_distance_clusters_holds_numbers(spark, monkeypatch):
+    rows = [(k, "s", "c", beta, alpha, "V1", "J1", "V2", "J2", 1.0) for k, (beta, alpha) in enumerate((b, a) for x, a in zip(_random_chains(12, 6), _random_chains(12, 7), strict=True) for b in (x, x[:5] + "A" + x[6:], x[:5] + "W" + x[6:]))]
+    records = spark.createDataFrame(rows, "rid long, subject string, condition string, beta string, alpha string, v_gene string, j_gene string, va_gene string, ja_gene string, counts double")
+    seen, kept = [], {}
+    for name, plain in (("shared_neighbour_linkage", pipeline.shared_neighbour_linkage), ("single_linkage", pipeline.single_linkage)):
+        monkeypatch.setattr(pipeline, name, lambda pairs, *rest, plain=plain: seen.append(dict(pairs.dtypes)) or plain(pairs, *rest))
+    monkeypatch.setattr(pipeline, "output_rows", lambda valid, records, clusters, by_record, *_: by_record)
+    monkeypatch.setattr(pipeline, "pattern_fisher", lambda patterns, *_: patterns.withColumn("p", F.lit(1.0)))
+    for method in ("shared-neighbour", "single-linkage"):
+        repertoire = pipeline.Repertoire(records.select(F.col("beta").alias("s")), records)
+        kept[method] = pipeline.run_distance_clustering(records, repertoire, records, method=method, mode="alpha-beta").collect()
+    assert all(x == {"i": "bigint", "j": "bigint", "d": "int"} for x in seen) and len(seen) == 2
+    for own in kept.values():  # a cluster is still named by its least vertex
+        for cid in {r.cid for r in own if not r.cid.startswith("single")}:
+            assert cid.split("|", 1)[1] == min(f"{rows[r.rid][3]}|{rows[r.rid][4]}" for r in own if r.cid == cid)
