@@ -628,3 +628,53 @@ def test_linkage_of_distance_clusters_holds_numbers(spark, monkeypatch):
     for own in kept.values():  # a cluster is still named by its least vertex
         for cid in {r.cid for r in own if not r.cid.startswith("single")}:
             assert cid.split("|", 1)[1] == min(f"{rows[r.rid][3]}|{rows[r.rid][4]}" for r in own if r.cid == cid)
+
+
+def _least_ends(edges) -> dict:
+    """The least vertex of each vertex's component, by plain renaming."""
+    label = {v: v for e in edges for v in e}
+    for a, b in edges:
+        one, two = sorted((label[a], label[b]))
+        label = {v: one if x == two else x for v, x in label.items()}
+    return label
+
+
+def test_single_linkage_stores_a_forest_of_its_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    for n, m in ((5, 0), (12, 20), (40, 300)):
+        i, j, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 6, m)
+        kept = graph.least_forest(i, j, d)
+        assert len(kept) < n
+        for most in range(6):
+            assert _least_ends([(i[k], j[k]) for k in kept if d[k] <= most]) == {v: x for v, x in _least_ends([(a, b) for a, b, x in zip(i, j, d, strict=True) if x <= most and a != b]).items()}
+    # 57 records that are all near one another.
+    rows = [(k, "s", "c", f"CASS{x}{y}GTDTQYF", "CAVRDSNYQLIF", "V1", "J1", "V2", "J2", 1.0) for k, (x, y) in enumerate((x, y) for x in "ARNDCQEGHILKMFPSTWY" for y in "AGS")]
+    records = spark.createDataFrame(rows, "rid long, subject string, condition string, beta string, alpha string, v_gene string, j_gene string, va_gene string, ja_gene string, counts double")
+    seen, plain = [], pipeline.single_linkage
+    monkeypatch.setattr(pipeline, "single_linkage", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    monkeypatch.setattr(pipeline, "output_rows", lambda valid, records, clusters, by_record, *_: by_record)
+    monkeypatch.setattr(pipeline, "pattern_fisher", lambda patterns, *_: patterns.withColumn("p", F.lit(1.0)))
+    out = pipeline.run_distance_clustering(records, pipeline.Repertoire(records.select(F.col("beta").alias("s")), records), records, method="single-linkage", mode="alpha-beta").collect()
+    assert seen[0] <= 2 * 56 and len({r.rid for r in out}) == 57  # at most two tasks found pairs
+
+
+def test_motifs_by_halves_and_lists(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    groups = {}
+    for c in range(40):
+        core = list(rng.choice(list("AGSTLV"), int(rng.integers(4, 12))))
+        groups[c] = sorted({"CAS" + "".join(rng.choice(list("AGSTLVIW")) if rng.random() < 0.2 else x for x in core) + "EQF" for _ in range(int(rng.integers(1, 9)))})
+    slow = lambda own: next((f for k in range(8, 2, -1) if (f := motifs.best_motif(own, k)) and f.fraction >= 0.5), None)
+    want = {c: own[0] if len(own) == 1 else getattr(slow(own), "consensus", None) for c, own in groups.items()}
+    members = spark.createDataFrame([(c, s) for c, own in groups.items() for s in own], "c long, s string").unionByName(spark.createDataFrame([(99, ""), (98, None)], "c long, s string"))
+    found = motifs.cluster_motifs(members, "c", "s")
+    assert {r.c: r.motif for r in found.collect()} == want | {99: None, 98: None}
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_numbers_name_the_same_pairs(spark):
+    near = [(x, y) for s, t in zip(_random_chains(20, 4), _random_chains(20, 5), strict=True) for x, y in ((s, t), (s[:5] + "A" + s[6:], t), (s, t[:6] + t[7:]))]
+    rows = [(f"{b}|{a}", b, a, k) for k, (b, a) in enumerate(sorted(set(near), key="|".join))]
+    vertices = spark.createDataFrame(rows, "v string, beta string, alpha string, id long")
+    both = [{(r.i, r.j): r.d for r in distances.joint_pairs(vertices, 12, True, number=n).collect()} for n in (None, "id")]
+    assert both[0] and both[0] == {(rows[i][0], rows[j][0]): d for (i, j), d in both[1].items()}
