@@ -142,3 +142,17 @@ def test_random_stream():
 
 def one_of_seed():
     return 0xCBF29CE484222325
+
+
+def test_factors_of_states_are_made_once(monkeypatch):
+    from clonoforge.functions import kernels
+
+    made = []
+    monkeypatch.setattr(kernels.np, "cumprod", lambda *a, real=np.cumprod, **k: made.append(1) or real(*a, **k))
+    for seed, n in ((3, 0), (5, 1), (1 << 63, 1000), (17, 40)):
+        want, x = [], seed
+        for _ in range(n):
+            x = (x * int(kernels._MULTIPLIER) + 1) % (1 << 64)
+            want.append(x)
+        assert kernels.states(seed, n).tolist() == want
+    assert len(made) <= 1
