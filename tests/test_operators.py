@@ -678,3 +678,14 @@ def test_numbers_name_the_same_pairs(spark):
     vertices = spark.createDataFrame(rows, "v string, beta string, alpha string, id long")
     both = [{(r.i, r.j): r.d for r in distances.joint_pairs(vertices, 12, True, number=n).collect()} for n in (None, "id")]
     assert both[0] and both[0] == {(rows[i][0], rows[j][0]): d for (i, j), d in both[1].items()}
+
+
+def test_lists_are_parted_by_both_alleles(spark, monkeypatch):
+    near = [(x, y) for s, t in zip(_random_chains(60, 13), _random_chains(60, 14), strict=True) for x, y in ((s, t), (s[:5] + "A" + s[6:], t), (s, t[:6] + t[7:]))]
+    rows = [(f"{b}|{a}|V0*01|V{k // 3 % 6}*01", b, a, "V0*01", f"V{k // 3 % 6}*01") for k, (b, a) in enumerate(near)]
+    vertices = spark.createDataFrame(rows, "v string, beta string, alpha string, vb string, va string").distinct()
+    seen, held = _shipped_members(monkeypatch), vertices.count()
+    got = {(r.i, r.j): r.d for r in distances.joint_pairs(vertices, 24, True, _far_genes(spark, 6), cdr3_weight=3, tile=20).collect()}
+    assert sum(seen) <= 3 * held  # one beta allele: its lists of 20 would take 180 members to 10 tasks each
+    want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and x[3:] == y[3:] and (d := 3 * (plain_distance(x[1], y[1]) + plain_distance(x[2], y[2]))) <= 24}
+    assert got == want and want
