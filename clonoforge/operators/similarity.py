@@ -165,10 +165,10 @@ def similar_pairs(inputs: DataFrame, database: DataFrame, threshold: float = THR
     distinct = cut(database.select("sequence").distinct())
     basis = spark.sparkContext.broadcast(_basis([r.sequence for r in distinct.orderBy(F.xxhash64("sequence"), "sequence").limit(FITTED).collect()]))
     right = cut(_profiled(spread(distinct), basis))
-    left = cut(_profiled(spread(inputs.select("sequence").distinct()), basis))
+    # Stored in even parts, so that no block's scan moves them again.
+    left = cut(spread(_profiled(spread(inputs.select("sequence").distinct()), basis)))
     blocks = max(1, -(-right.count() // block))
     schema = T.StructType([T.StructField("sequence", T.StringType()), T.StructField("match", T.StringType()), T.StructField("score", T.DoubleType())])
-    left = spread(left)
     out = None
     for k in range(blocks):
         members = right.filter(F.pmod(F.xxhash64("sequence"), F.lit(blocks)) == k).toArrow()

@@ -689,3 +689,10 @@ def test_lists_are_parted_by_both_alleles(spark, monkeypatch):
     assert sum(seen) <= 3 * held  # one beta allele: its lists of 20 would take 180 members to 10 tasks each
     want = {(x[0], y[0]): d for x in rows for y in rows if x[0] < y[0] and x[3:] == y[3:] and (d := 3 * (plain_distance(x[1], y[1]) + plain_distance(x[2], y[2]))) <= 24}
     assert got == want and want
+
+
+def test_search_moves_no_inputs(spark):
+    own = spark.createDataFrame([(x[1:-1],) for x in _random_chains(40, 15)], "sequence string")
+    found = similarity.similar_pairs(own, own)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.sequence, r.match) for r in found.collect()} >= {(r.sequence, r.sequence) for r in own.collect()}
