@@ -696,3 +696,37 @@ def test_search_moves_no_inputs(spark):
     found = similarity.similar_pairs(own, own)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.sequence, r.match) for r in found.collect()} >= {(r.sequence, r.sequence) for r in own.collect()}
+
+
+def test_pairs_are_compared_many_at_once(monkeypatch):
+    pool = sorted({y for x in _random_chains(1500, 16) for y in (x[1:-1], x[1:5] + "V" + x[6:-1], x[1:5] + "I" + x[6:-1])})
+    calls, plain = [], similarity.k3_pairs
+    monkeypatch.setattr(similarity, "k3_pairs", lambda a, b: calls.append((a.shape[1], b.shape[1])) or plain(a, b))
+    side = similarity.Side(pool, *similarity._profiles(pool, similarity._basis(pool[:500])))
+    assert sum(1 for _ in side.matches(side, 0.97)) == len(set(calls)) == len(calls)
+    found = {(i, j) for x, y, _ in side.take(np.arange(40)).matches(side, 0.95) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    from clonoforge.functions.kernels import k3_matrix
+
+    want = set()
+    for n in set(side.lengths.tolist()):
+        at = np.flatnonzero(side.lengths == n)
+        for a in range(40):
+            score = k3_matrix(side.codes[a, : side.lengths[a]], side.codes[at, :n]) / (side.norms[a] * side.norms[at])
+            want |= {(a, b) for b in at[score > 0.95].tolist()}
+    assert found == want and len(found) > 40
+
+
+def test_sequences_of_both_sides_meet_once(spark, monkeypatch):
+    near = [y for x in _random_chains(40, 17) for y in (x[1:-1], x[1:5] + "S" + x[6:-1], x[1:5] + "T" + x[6:-1])]
+    pool = sorted(set(near))
+    sides = [spark.createDataFrame([(s,) for s in some], "sequence string") for some in (pool[:90], pool[30:], pool)]
+    scanned, plain = [], type(sides[0]).mapInArrow
+    monkeypatch.setattr(type(sides[0]), "mapInArrow", lambda df, run, schema, *rest: (scanned.append(df.count()) if "match" in schema.names else None) or plain(df, run, schema, *rest))
+    side = similarity.Side(pool, *similarity._profiles(pool, similarity._basis(pool)))
+    want = {(pool[i], pool[j]) for x, y, _ in side.matches(side, 0.9) for i, j in zip(x, y, strict=True)}
+    for inputs, database, own, base in ((0, 1, pool[:90], pool[30:]), (2, 2, pool, pool), (0, 2, pool[:90], pool)):
+        scanned.clear()
+        got = similarity.similar_pairs(sides[inputs], sides[database], 0.9, 20).collect()
+        assert {(r.sequence, r.match) for r in got} == {(a, b) for a, b in want if a in own and b in base} and len({(r.sequence, r.match) for r in got}) == len(got) > 20
+        if own == base:
+            assert len(scanned) > 4 and sum(scanned) < 0.75 * len(scanned) * len(own)
